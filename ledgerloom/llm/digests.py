@@ -28,7 +28,7 @@ COMPRESSION = 400
 RANK_BOUND = 0.005
 BUFFER = 500_000
 QUANTILES = (0.5, 0.95, 0.99)
-MOST_CENTROIDS = 200_000
+MOST_CENTROIDS = 20_000
 
 DIGEST = "means array<double>, weights array<double>"
 
@@ -55,13 +55,6 @@ def cluster(means: np.ndarray, weights: np.ndarray, compression: float = COMPRES
     return m, w
 
 
-def merged(means: Iterable, weights: Iterable) -> tuple[np.ndarray, np.ndarray]:
-    m = np.concatenate([np.asarray(x, dtype=float) for x in means])
-    w = np.concatenate([np.asarray(x, dtype=float) for x in weights])
-    order = np.lexsort((w, m))
-    return cluster(m[order], w[order])
-
-
 def estimate(means: np.ndarray, weights: np.ndarray, q: float) -> float:
     """The value at rank q, between the centroids whose middles enclose it."""
     middle = np.cumsum(weights) - weights / 2
@@ -96,26 +89,37 @@ def partial_digests(values: DataFrame, keys: list[str]) -> DataFrame:
     return values.select(*keys, "value").mapInPandas(run, ", ".join(f"{k} string" for k in keys) + ", " + DIGEST)
 
 
+def _merge(keys: list[str]):  # noqa: ANN202
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            pairs = []
+            for m, w in zip(batch["means"], batch["weights"], strict=True):
+                m, w = np.asarray(m, dtype=float), np.asarray(w, dtype=float)
+                order = np.lexsort((w, m))
+                pairs.append(cluster(m[order], w[order]))
+            out = batch[keys].copy()
+            out["means"], out["weights"] = [m for m, _ in pairs], [w for _, w in pairs]
+            yield out
+
+    return run
+
+
 def combine(digests: DataFrame, keys: list[str]) -> DataFrame:
     """One digest per group from any number of digests.
 
     Groups with more centroids than one task should hold are merged in blocks first, so often as
     needed; a block holds about MOST_CENTROIDS.
     """
-
-    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        m, w = merged(group["means"], group["weights"])
-        return pd.DataFrame([(*key[: len(keys)], m, w)], columns=[*keys, "means", "weights"])
-
     schema = ", ".join(f"{k} string" for k in keys) + ", " + DIGEST
-    digests = cut(digests)
+    lists = [F.flatten(F.collect_list("means")).alias("means"), F.flatten(F.collect_list("weights")).alias("weights")]
+    digests = cut(digests.select(*keys, "means", "weights"))
     while True:
         most = digests.groupBy(*keys).agg(F.sum(F.size("means")).alias("n")).agg(F.max("n")).first()[0] or 0
         if most <= 2 * MOST_CENTROIDS:
-            return digests.groupBy(*keys).applyInPandas(run, schema)
+            return digests.groupBy(*keys).agg(*lists).mapInPandas(_merge(keys), schema)
         blocks = -(-most // MOST_CENTROIDS)
         salted = digests.withColumn("_block", F.pmod(F.xxhash64("means", "weights"), F.lit(blocks)))
-        digests = cut(salted.groupBy(*keys, "_block").applyInPandas(run, schema))
+        digests = cut(salted.groupBy(*keys, "_block").agg(*lists).mapInPandas(_merge(keys), schema))
 
 
 def certified(values: DataFrame, digests: DataFrame, keys: list[str], quantiles: tuple[float, ...] = QUANTILES) -> DataFrame:
@@ -152,16 +156,30 @@ def certified(values: DataFrame, digests: DataFrame, keys: list[str], quantiles:
     return long.select(*keys, "quantile", "value", "n", "rank_low", "rank_high", error.alias("rank_error"), bound.alias("error_bound"), (error <= bound).alias("within_bound"))
 
 
-def percentiles(values: DataFrame, keys: list[str], apart: str | None = None, quantiles: tuple[float, ...] = QUANTILES) -> DataFrame:
-    """Certified percentiles per group; with `apart` (a string column, as a day) each of its values
-    is summarised on its own and the summaries are combined.
+def _numbers(values: DataFrame, *columns: str) -> DataFrame:
+    x = F.col("value").cast("double")
+    return cut(values.select(*columns, x.alias("value")).where(x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))))
+
+
+def percentiles(values: DataFrame, keys: list[str], quantiles: tuple[float, ...] = QUANTILES) -> DataFrame:
+    """Certified percentiles per group.
 
     Null, NaN and infinite values are no numbers and are left out; a group without numbers has no
     row. A null key is a group of its own. Repeated values count each time.
     """
-    x = F.col("value").cast("double")
-    values = cut(values.select(*keys, *([apart] if apart else []), x.alias("value")).where(x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))))
-    if apart:
-        daily = partial_digests(values, [*keys, apart])  # each of one day's rows only
-        return certified(values, combine(daily.drop(apart), keys), keys, quantiles)
+    values = _numbers(values, *keys)
     return certified(values, combine(partial_digests(values, keys), keys), keys, quantiles)
+
+
+def percentiles_by(values: DataFrame, keys: list[str], apart: str, quantiles: tuple[float, ...] = QUANTILES) -> DataFrame:
+    """Certified percentiles per group and value of `apart` (a string column, as a day), each
+    summarised on its own, and, with null in `apart`, per group from those summaries combined.
+
+    Cases as in `percentiles`; a row whose `apart` is null counts under the string `unknown`.
+    """
+    values = _numbers(values.withColumn(apart, F.coalesce(apart, F.lit("unknown"))), *keys, apart)
+    each = cut(combine(partial_digests(values, [*keys, apart]), [*keys, apart]))
+    whole = combine(each.drop(apart), keys)
+    columns = [*keys, apart, "quantile", "value", "n", "rank_low", "rank_high", "rank_error", "error_bound", "within_bound"]
+    apart_rows = certified(values, each, [*keys, apart], quantiles).select(columns)
+    return apart_rows.unionByName(certified(values, whole, keys, quantiles).withColumn(apart, F.lit(None).cast("string")).select(columns))

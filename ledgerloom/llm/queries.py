@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import digests, mixing, packing, tokens
+from ledgerloom.llm import digests, mixing, names, packing, tokens
 from ledgerloom.session import cut, latest, table
 
 
@@ -20,16 +20,19 @@ def p4_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests.percentiles(p4_values(spark, sf_dir), ["measure", "served_model"])
+    """Per model and day, each day summarised apart, and (day null) per model from the days combined."""
+    return digests.percentiles_by(p4_values(spark, sf_dir), ["measure", "served_model"], apart="day")
 
 
-def p4_from_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests.percentiles(p4_values(spark, sf_dir), ["measure", "served_model"], apart="day")
+def p4_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per model, summarised over all its rows at once."""
+    return digests.percentiles(p4_values(spark, sf_dir), ["measure", "served_model"])
 
 
 def p4_certified(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which estimates keep their bound, and over how many values: all do."""
-    return p4_from_days(spark, sf_dir).select("measure", "served_model", F.col("quantile").cast("double").alias("quantile"), "n", "within_bound")
+    whole = p4_whole(spark, sf_dir)
+    return whole.select("measure", "served_model", F.col("quantile").cast("double").alias("quantile"), "n", "within_bound")
 
 
 P4_CERTIFIED = """
@@ -44,6 +47,25 @@ from x, (values (0.5::double), (0.95::double), (0.99::double)) q(quantile)
 """
 
 
+def p6_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every name record, by the key it has in p6_found."""
+    invoices = latest(table(spark, sf_dir, "invoices").select("invoice_id", "vendor_name", "customer_billing_name", "loaded_at"), "invoice_id")
+    labels = table(spark, sf_dir, "regional_labels").where("label_id is not null")
+    named = [(invoices, "invoice_id", "vendor_name", "vendor_name"), (invoices, "invoice_id", "customer_billing_name", "customer_billing_name"), (labels, "label_id", "vendor_name", "label_vendor_name")]
+    parts = [df.where(F.col(column).isNotNull()).select(F.concat_ws("/", F.col(key).cast("string"), F.lit(name)).alias("name_id"), F.col(column).alias("text")) for df, key, column, name in named]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.same_party(p6_names(spark, sf_dir))
+
+
+def p6_parties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The party of each name record, with the size of the party."""
+    found = names.resolve(p6_names(spark, sf_dir))
+    return found.join(found.groupBy("party").agg(F.count("*").alias("records")), "party")
+
+
 def _sizes(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
     return cut(tokens.sized(table(spark, sf_dir, "documents"), *keep))
 
@@ -77,8 +99,10 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p4_percentiles": p4_percentiles,
-    "p4_from_days": p4_from_days,
+    "p4_whole": p4_whole,
     "p4_certified": p4_certified,
+    "p6_found": p6_found,
+    "p6_parties": p6_parties,
     "p7_packs": p7_packs,
     "p7_unused": p7_unused,
     "p8_repeats": p8_repeats,
