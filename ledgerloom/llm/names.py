@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import spelling
+from ledgerloom.llm.spelling import distance
 from ledgerloom.session import cut
 
 # Legal forms, and the ways they are written.
@@ -95,23 +96,6 @@ def plain(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", text.casefold()) if not unicodedata.combining(c))
 
 
-def distance(a: str, b: str, most: int) -> int:
-    """Edits (with swaps of neighbours) between two words, or most + 1 where there are more."""
-    if abs(len(a) - len(b)) > most:
-        return most + 1
-    before, row = [], list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, now = row, [i] + [0] * len(b)
-        for j, y in enumerate(b, 1):
-            now[j] = min(last[j] + 1, now[j - 1] + 1, last[j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                now[j] = min(now[j], before[j - 2] + 1)
-        if min(now) > most:
-            return most + 1
-        before, row = last, now
-    return min(row[-1], most + 1)
-
-
 def _exact(word: str) -> tuple[str, object] | None:
     if word in _GIVEN:
         return "given", _GIVEN[word]

@@ -5,10 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import digests, mixing, names, packing, tokens
+from ledgerloom.llm import addresses, digests, mixing, names, packing, tokens
 from ledgerloom.session import cut, latest, table
 
 
+def p1_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every address record, by the key it has in p1_found."""
+    fields = ["vendor_address", "customer_billing_address", "customer_delivery_address"]
+    invoices = latest(table(spark, sf_dir, "invoices").select("invoice_id", *fields, "loaded_at"), "invoice_id")
+    named = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields]))
+    return invoices.select("invoice_id", named.alias("_f")).where("_f.text is not null").select(F.concat_ws("/", F.col("invoice_id").cast("string"), "_f.field").alias("address_id"), "_f.text")
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return addresses.same_location(p1_addresses(spark, sf_dir))
+
+
+def p1_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The street identifier, number and unit of each address record that spells out a place."""
+    return addresses.resolve(p1_addresses(spark, sf_dir))
+
+
 def p4_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Costs of calls and latencies of run documents. A latency below zero is impossible; a
     negative cost is a reversal and counts."""
@@ -98,6 +115,8 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_locations": p1_locations,
     "p4_percentiles": p4_percentiles,
     "p4_whole": p4_whole,
     "p4_certified": p4_certified,

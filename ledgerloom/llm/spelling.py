@@ -17,6 +17,23 @@ from ledgerloom.session import cut
 BROADCAST_ROWS = 400_000
 
 
+def distance(a: str, b: str, most: int) -> int:
+    """Edits (with swaps of neighbours) between two words, or most + 1 where there are more."""
+    if abs(len(a) - len(b)) > most:
+        return most + 1
+    before, row = [], list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, now = row, [i] + [0] * len(b)
+        for j, y in enumerate(b, 1):
+            now[j] = min(last[j] + 1, now[j - 1] + 1, last[j - 1] + (x != y))
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                now[j] = min(now[j], before[j - 2] + 1)
+        if min(now) > most:
+            return most + 1
+        before, row = last, now
+    return min(row[-1], most + 1)
+
+
 def edits_allowed(word: Column) -> Column:
     n = F.length(word)
     return F.when(n < 4, 0).when(n < 6, 1).otherwise(2)
@@ -35,12 +52,13 @@ def _prefixes(words: DataFrame, frequency: DataFrame, keys: list[str]) -> DataFr
     )
 
 
-def meant(words: DataFrame, keys: list[str] | None = None, most_share: float = 0.1, weak: int = 2) -> DataFrame:
+def meant(words: DataFrame, keys: list[str] | None = None, most_share: float = 0.1, weak: int = 2, ties: bool = False) -> DataFrame:
     """`word, meant, edits`: for seldom words, the more frequent words within the edits allowed.
 
     `words` has word and n (how many records carry it), one row a word, and the keys within which
     words are compared, if any. A word is taken for a misspelling only of one that comes more
     often: at least 1 / most_share times, or any more where it comes at most `weak` times itself.
+    With `ties`, of two that come equally seldom the first by name is taken to be meant.
     Null and empty words have no row.
     """
     keys = keys or []
@@ -52,14 +70,17 @@ def meant(words: DataFrame, keys: list[str] | None = None, most_share: float = 0
         .groupBy("gram").agg(F.count("*").alias("df"))
     )
     prefixed = cut(_prefixes(words, frequency, keys))
-    strong = prefixed.where("n >= 2").select(*keys, "gram", F.col("word").alias("meant"), F.col("n").alias("m"))
+    strong = prefixed.where(f"n >= {1 if ties else 2}").select(*keys, "gram", F.col("word").alias("meant"), F.col("n").alias("m"))
     small = strong.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     # Words that come more than this can't be a misspelling of any.
     top = words.agg(F.max("n")).first()[0] or 0
     seldom = prefixed.where(F.col("n") <= max(weak, int(most_share * top)))
     most = F.greatest(edits_allowed(F.col("word")), F.lit(0))
+    more = F.col("m") > F.col("n")
+    if ties:
+        more |= (F.col("m") == F.col("n")) & (F.col("meant") < F.col("word"))
     near = seldom.join(F.broadcast(strong) if small else strong, [*keys, "gram"]).where(
-        (F.col("m") > F.col("n")) & ((F.col("n") <= weak) | (F.col("n") <= most_share * F.col("m"))) & (F.abs(F.length("word") - F.length("meant")) <= most)
+        more & ((F.col("n") <= weak) | (F.col("n") <= most_share * F.col("m"))) & (F.abs(F.length("word") - F.length("meant")) <= most)
     )
     edits = F.levenshtein("word", "meant", 2)
     return (
