@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import addresses, digests, mixing, names, packing, tokens
+from ledgerloom.llm import addresses, catalogue, digests, mixing, names, packing, tokens
 from ledgerloom.session import cut, latest, table
 
 
@@ -26,6 +26,18 @@ def p1_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return addresses.resolve(p1_addresses(spark, sf_dir))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = latest(table(spark, sf_dir, "line_items").select("line_id", F.col("line_item_description").alias("text"), "loaded_at"), "line_id")
+    return catalogue.match(lines, table(spark, sf_dir, "entries"))
+
+
+def p2_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The descriptions without an entry, by how often they come."""
+    lines = latest(table(spark, sf_dir, "line_items").select("line_id", F.col("line_item_description").alias("text"), "loaded_at"), "line_id")
+    free = catalogue.match(lines, table(spark, sf_dir, "entries")).where(F.col("sku") == catalogue.UNMATCHED)
+    return lines.join(free, "line_id", "left_semi").groupBy(F.lower(F.trim("text")).alias("description")).agg(F.count("*").alias("lines"))
+
+
 def p4_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Costs of calls and latencies of run documents. A latency below zero is impossible; a
     negative cost is a reversal and counts."""
@@ -117,6 +129,8 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_locations": p1_locations,
+    "p2_found": p2_found,
+    "p2_unmatched": p2_unmatched,
     "p4_percentiles": p4_percentiles,
     "p4_whole": p4_whole,
     "p4_certified": p4_certified,
