@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import addresses, catalogue, digests, mixing, names, packing, tokens
+from ledgerloom.llm import addresses, catalogue, digests, mixing, names, packing, subjects, tokens
 from ledgerloom.session import cut, latest, table
 
 
@@ -126,6 +126,18 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(p8_repeats(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subjects.assign(table(spark, sf_dir, "documents"), table(spark, sf_dir, "subject_examples"), table(spark, sf_dir, "subjects"))
+
+
+def p9_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of the corpus deals with each subject: the known subjects and those found."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    known = table(spark, sf_dir, "subject_examples").where("subject <> 'none'").select("doc_id", "subject")
+    both = p9_found(spark, sf_dir).unionByName(known).distinct().join(documents, "doc_id")
+    return both.groupBy("subject").agg(F.count("*").alias("documents"), F.sum(F.col("n_chars").cast("long")).alias("chars"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_locations": p1_locations,
@@ -140,5 +152,7 @@ QUERIES = {
     "p7_unused": p7_unused,
     "p8_repeats": p8_repeats,
     "p8_shares": p8_shares,
+    "p9_found": p9_found,
+    "p9_composition": p9_composition,
 }
 ORACLES = {"p4_certified": P4_CERTIFIED}
