@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import normalize
 from ledgerloom.operators import assignment, logs, retrieval, scoring
 from ledgerloom.session import table
+from ledgerloom.streaming import logs as streams
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -366,12 +367,11 @@ def trigram_top5(spark, sf_dir):  # noqa: ANN001, ANN201
     return retrieval.trigram_arm(_texts(spark, sf_dir), _entries(spark, sf_dir))
 
 
-@query()
+@query("""with q as (select vec_id as qid, embedding as v from embeddings where vec_id % 100 = 0),
+c as (select qid, vec_id as sku, round(list_cosine_similarity(v::double[], embedding::double[]), 6) as score from q, embeddings)
+select qid, sku, score, rank from (select *, row_number() over (partition by qid order by score desc, sku)::int as rank from c) where rank <= 5""")
 def vector_top5(spark, sf_dir):  # noqa: ANN001, ANN201
-    e = table(spark, sf_dir, "embeddings")
-    key = e.columns[0]
-    vector = next(c for c, t in e.dtypes if t.startswith("array"))
-    every = e.select(F.col(key).alias("sku"), F.col(vector).alias("vector"))
+    every = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("sku"), F.col("embedding").alias("vector"))
     return retrieval.vector_arm(every.where("sku % 100 = 0").withColumnRenamed("sku", "qid"), every)
 
 
@@ -481,3 +481,22 @@ def xml_read(spark, sf_dir):  # noqa: ANN001, ANN201
 @query("""select (ts::date)::varchar as day, event_type, count(*) as n, count(distinct user_id) as users from events group by all""")
 def events_by_day(spark, sf_dir):  # noqa: ANN001, ANN201
     return table(spark, sf_dir, "events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_type").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"))
+
+
+# --- streams -------------------------------------------------------------------------------------
+
+@query("""select (ts::date)::varchar as day, event_type, count(*) as n from events group by all""")
+def stream_counts(spark, sf_dir):  # noqa: ANN001, ANN201
+    counts = streams.windowed_counts(streams.arriving(spark, sf_dir, "events"), "ts", "event_type")
+    return counts.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n")
+
+
+@query("""select user_id, arg_max(event_type, event_id) as event_type from events group by user_id""")
+def stream_last_state(spark, sf_dir):  # noqa: ANN001, ANN201
+    return streams.last_states(streams.arriving(spark, sf_dir, "events"), "user_id", "event_id", "event_type")
+
+
+@query("""select props as digest, min(event_id) as event_id from events where props is not null group by props""")
+def stream_first_seen(spark, sf_dir):  # noqa: ANN001, ANN201
+    rows = streams.arriving(spark, sf_dir, "events").where("props is not null").select(F.col("props").alias("digest"), "event_id")
+    return streams.first_seen(rows, "digest", "event_id")

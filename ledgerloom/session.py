@@ -45,15 +45,18 @@ def latest(df: DataFrame, key: str, at: str = "loaded_at") -> DataFrame:
     )
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise `df` in the shared checkpoint folder and forget how it was made.
-
-    The folder is the one the cluster names in spark.checkpoint.dir. Where none is set (tests
-    on one machine) a temporary one is made.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share: what the cluster names in spark.checkpoint.dir, else (tests
+    on one machine) a temporary one."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise `df` in the shared folder and forget how it was made: what follows survives the
+    loss of executors and reads it as often as it likes."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
