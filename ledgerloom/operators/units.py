@@ -219,6 +219,8 @@ def _read(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 STAY, SAME_DIMENSION, SWITCH = math.log(0.7), math.log(0.25), math.log(0.05)
 BLOCK = 5_000
+# How far the log of a base amount strays from its level at least, and where no level is known.
+LEAST_SPREAD, NO_SPREAD = 3.0, 4.0
 
 
 def viterbi(steps: list[list[tuple[str, str, float]]]) -> list[int]:
@@ -253,8 +255,10 @@ def _decode(group: pd.DataFrame) -> pd.DataFrame:
             total = sum(y["n"] for y in level.values())
             e += math.log(seen + 0.05 * total + 0.5)  # a dimension not seen yet is never ruled out
             if seen >= 3 and o["base"]:
-                spread = max(1.0, x["spread"] if np.isfinite(x["spread"]) else 1.0)
+                spread = max(LEAST_SPREAD, x["spread"] if np.isfinite(x["spread"]) else LEAST_SPREAD)
                 e -= ((math.log(abs(o["base"])) - x["level"]) / spread) ** 2 / 2 + math.log(spread)
+            else:
+                e -= 0.5 + math.log(NO_SPREAD)
             step.append((o["unit"], o["dimension"], e))
         steps.append(step)
     chosen = [o[k] for o, k in zip(group["options"], viterbi(steps), strict=True)]

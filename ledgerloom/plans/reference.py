@@ -88,7 +88,7 @@ def normalize_text(spark, sf_dir):  # noqa: ANN001, ANN201
 
 @query()
 def normalize_text_unicode(spark, sf_dir):  # noqa: ANN001, ANN201
-    return table(spark, sf_dir, "documents").select("doc_id", normalize.text_unicode("text").alias("folded"))
+    return table(spark, sf_dir, "documents").select("doc_id", normalize.text_unicode(F.col("text")).alias("folded"))
 
 
 @query("""with x as (select p_partkey, p_name || ' ' || p_brand as one, p_name || ' ' || p_type as other from part)
