@@ -138,6 +138,29 @@ def p9_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("subject").agg(F.count("*").alias("documents"), F.sum(F.col("n_chars").cast("long")).alias("chars"))
 
 
+def p7_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether every text with tokens is packed once, in one piece if it fits, and no pack overflows."""
+    capacities = table(spark, sf_dir, "pack_sizes").select("pack_name", "capacity_tokens")
+    packs = cut(p7_packs(spark, sf_dir).where("pack_id is not null"))
+    texts = packs.groupBy("pack_name", "doc_id").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("pieces")).join(capacities, "pack_name")
+    own = texts.groupBy("pack_name").agg(F.count("*").alias("texts"), F.bool_and(F.col("pieces") == F.ceil(F.col("n") / F.col("capacity_tokens"))).alias("once"))
+    full = packs.groupBy("pack_name", "pack_id").agg(F.sum("n_tokens").alias("n"), F.max("unused_tokens").alias("unused")).join(capacities, "pack_name")
+    fits = full.groupBy("pack_name").agg(F.bool_and(F.col("n") + F.col("unused") == F.col("capacity_tokens")).alias("fits"))
+    return own.join(fits, "pack_name")
+
+
+P7_WHOLE = "select pack_name, (select count(*) from documents where text is not null and text <> '') as texts, true as once, true as fits from pack_sizes"
+
+
+def p8_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per source, its texts and whether none is repeated beyond its cap."""
+    mixed = p8_repeats(spark, sf_dir).join(table(spark, sf_dir, "mix_targets").select("source", "max_repeats"), "source", "left")
+    return mixed.groupBy("source").agg(F.count("*").alias("texts"), F.bool_and(F.col("repeats") <= F.coalesce("max_repeats", F.lit(0))).alias("capped"))
+
+
+P8_CAPPED = "select source, count(*) as texts, true as capped from documents group by source"
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_locations": p1_locations,
@@ -150,9 +173,11 @@ QUERIES = {
     "p6_parties": p6_parties,
     "p7_packs": p7_packs,
     "p7_unused": p7_unused,
+    "p7_whole": p7_whole,
     "p8_repeats": p8_repeats,
+    "p8_capped": p8_capped,
     "p8_shares": p8_shares,
     "p9_found": p9_found,
     "p9_composition": p9_composition,
 }
-ORACLES = {"p4_certified": P4_CERTIFIED}
+ORACLES = {"p4_certified": P4_CERTIFIED, "p7_whole": P7_WHOLE, "p8_capped": P8_CAPPED}
