@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -55,20 +57,52 @@ def assign(edges: DataFrame, case: str = "case_id") -> DataFrame:
     and worth (a positive long): other pairs are worth nothing.
 
     An edge that is the only one of both its rows is in every best assignment and is taken in the
-    JVM; only cases with rows in contention go through the kernel, one case at a time.
+    JVM; the rest of a case's edges are gathered into one row and many cases go to a worker at a
+    time. A case is one document's table, so its edges are few, however many cases there are.
     """
     edges = edges.where("worth > 0").select(case, "left", "right", "worth")
     per = lambda c: F.count("*").over(W.partitionBy(case, c))
     marked = edges.withColumns({"_l": per("left"), "_r": per("right")})
     sure = marked.where("_l = 1 and _r = 1").select(case, "left", "right", "worth")
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        lefts, rights = np.unique(group["left"]), np.unique(group["right"])
-        worth = np.zeros((len(lefts), len(rights)), np.int64)
-        worth[np.searchsorted(lefts, group["left"]), np.searchsorted(rights, group["right"])] = group["worth"]
-        pairs = best(worth)
-        return pd.DataFrame({case: group[case].iloc[0], "left": [lefts[i] for i, _ in pairs], "right": [rights[j] for _, j in pairs], "worth": [worth[i, j] for i, j in pairs]})
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = [
+                (key, left, right, worth)
+                for key, lefts, rights, worths in zip(batch[case], batch["left"], batch["right"], batch["worth"], strict=True)
+                for left, right, worth in _solve(lefts.tolist(), rights.tolist(), worths.tolist())
+            ]
+            yield pd.DataFrame(out, columns=[case, "left", "right", "worth"])
 
-    rest = marked.where("_l > 1 or _r > 1").select(case, "left", "right", "worth")
+    rest = marked.where("_l > 1 or _r > 1").groupBy(case).agg(*[F.collect_list(c).alias(c) for c in ("left", "right", "worth")])
     kind = dict(edges.dtypes)[case]
-    return sure.unionByName(rest.groupBy(case).applyInPandas(run, f"{case} {kind}, left bigint, right bigint, worth bigint"))
+    return sure.unionByName(rest.mapInPandas(run, f"{case} {kind}, left bigint, right bigint, worth bigint"))
+
+
+def _solve(lefts: list, rights: list, worths: list) -> list[tuple]:
+    """The best pairs of one case's edges, taken apart into parts that share no row."""
+    rows = sorted(zip(lefts, rights, worths, strict=True))
+    part: dict = {}
+
+    def root(x: tuple) -> tuple:
+        while part.setdefault(x, x) != x:
+            part[x] = x = part[part[x]]
+        return x
+
+    for left, right, _ in rows:
+        part[root((0, left))] = root((1, right))
+    parts: dict = {}
+    for row in rows:
+        parts.setdefault(root((0, row[0])), []).append(row)
+    out = []
+    for own in parts.values():
+        if len({r[0] for r in own}) == 1 or len({r[1] for r in own}) == 1:
+            out.append(max(own, key=lambda r: r[2]))  # one row has the choice of several
+            continue
+        at, to = sorted({r[0] for r in own}), sorted({r[1] for r in own})
+        i, j = {x: k for k, x in enumerate(at)}, {x: k for k, x in enumerate(to)}
+        worth = np.zeros((len(at), len(to)), np.int64)
+        for left, right, w in own:
+            worth[i[left], j[right]] = w
+        out += [(at[x], to[y], int(worth[x, y])) for x, y in best(worth)]
+    return out

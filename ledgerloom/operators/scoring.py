@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import normalize
+from ledgerloom.session import cut
 
 
 def ratio(part: Column, whole: Column) -> Column:
@@ -27,9 +28,11 @@ def field_flags(labeled: DataFrame, read: DataFrame, keys: list[str]) -> DataFra
     """Distinct comparable values of both sides, met on keys, fieldtype and value:
     keys, fieldtype, norm, gold, guess. Blank values are absent. Both sides have keys, fieldtype, text."""
     norm = normalize.comparable(F.col("fieldtype"), F.col("text"))
-    side = lambda df, flag: df.select(*keys, "fieldtype", norm.alias("norm")).where("norm <> ''").distinct().withColumn(flag, F.lit(1))
-    both = side(labeled, "gold").join(side(read, "guess"), [*keys, "fieldtype", "norm"], "full")
-    return both.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("gold", "guess")})
+    side = lambda df, gold: df.select(*keys, "fieldtype", "text", F.lit(gold).alias("gold"), F.lit(1 - gold).alias("guess"))
+    # One shuffle, on the keys: the grouping below keeps that partitioning, and values are made
+    # comparable after it, in parallel however few files they came from.
+    both = side(labeled, 1).unionByName(side(read, 0)).repartition(*keys).withColumn("norm", norm).where("norm <> ''")
+    return both.groupBy(*keys, "fieldtype", "norm").agg(F.max("gold").alias("gold"), F.max("guess").alias("guess"))
 
 
 def counted(flags: DataFrame, by: list[str]) -> DataFrame:
@@ -52,6 +55,7 @@ def error_classes(flags: DataFrame, keys: list[str], net_for_gross: dict[str, st
     """Missing and spurious values told apart: a gross value read under its net fieldtype is
     `filed beside`; of what is left of a fieldtype in a document, pairs are `wrong` and the rest
     `missing` or `spurious`. Gives fieldtype, class, n; every class adds back to its side's misses."""
+    flags = cut(flags.where("gold <> guess"))
     missing = flags.where("gold = 1 and guess = 0")
     spurious = flags.where("gold = 0 and guess = 1")
     beside = F.create_map(*[F.lit(x) for pair in net_for_gross.items() for x in pair])
