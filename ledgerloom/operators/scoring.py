@@ -150,3 +150,24 @@ def tree_digest(files: DataFrame) -> DataFrame:
     list is one row, as the digest is of all its lines."""
     line = F.concat_ws(" ", "path", "blob")
     return files.groupBy("tree").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("digest"))
+
+
+def found_against_truth(found: DataFrame, truth: DataFrame, keys: list[str], by: str, kinds: DataFrame) -> DataFrame:
+    """Hits, misses and false alarms per kind, met null-safely on the keys and the kind; kinds
+    without any stay with zeros. `kinds` has the column `by`."""
+    both = truth.select(*keys, by, F.lit(1).alias("t"), F.lit(0).alias("f")).unionByName(found.select(*keys, by, F.lit(0).alias("t"), F.lit(1).alias("f")))
+    per = both.groupBy(*keys, by).agg(F.max("t").alias("t"), F.max("f").alias("f")).groupBy(by).agg(
+        F.sum(F.col("t") * F.col("f")).alias("hits"), F.sum(F.col("t") * (1 - F.col("f"))).alias("misses"), F.sum((1 - F.col("t")) * F.col("f")).alias("false_alarms")
+    )
+    return kinds.select(by).join(per, by, "left").select(by, *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("hits", "misses", "false_alarms")])
+
+
+def choose_depth(points: DataFrame, within: float = 0.01) -> DataFrame:
+    """The smallest setting whose score is within `within` of the best. `points` has setting, score."""
+    best = points.agg(F.max("score").alias("best"))
+    return points.join(F.broadcast(best), F.col("score") >= F.col("best") - within).agg(F.min("setting").alias("setting"))
+
+
+def headline(exact: Column, noisy: Column, weight: float = 2 / 3) -> Column:
+    """Exact and noisy rates weighed together; one alone where the other is missing."""
+    return F.coalesce(weight * exact + (1 - weight) * noisy, exact, noisy)

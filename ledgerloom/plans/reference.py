@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.functions import normalize
+from ledgerloom.functions import identifiers, normalize
 from ledgerloom.operators import assignment, logs, retrieval, scoring
-from ledgerloom.session import table
+from ledgerloom.session import latest, table
 from ledgerloom.streaming import logs as streams
 
 QUERIES = {}
@@ -388,11 +388,11 @@ def hybrid_rrf(spark, sf_dir):  # noqa: ANN001, ANN201
     return retrieval.fuse(every.where("rank <= 25"), second)
 
 
-@query(f"""with {_CATALOG}, t as (select p_partkey as qid, case when p_partkey % 2 = 0 then substr(p_name || ' ' || p_type, 3) else p_name || ' ' || p_type || 's' end as text from part where p_partkey % 10 = 0)
+@query(f"""with {_CATALOG}, t as (select p_partkey as qid, case when p_partkey % 2 = 0 then substr(p_name || ' ' || p_type, 3) else p_name || ' ' || p_type || 's' end as text from part)
 select qid, text from t where not exists (select 1 from cat where 1 - levenshtein(text, description) / greatest(length(text), length(description))::double >= 0.95 - 1e-9)""")
 def catalog_guard(spark, sf_dir):  # noqa: ANN001, ANN201
     d = F.concat_ws(" ", "p_name", "p_type")
-    t = table(spark, sf_dir, "part").where("p_partkey % 10 = 0").select(F.col("p_partkey").alias("qid"), F.when(F.pmod("p_partkey", F.lit(2)) == 0, d.substr(F.lit(3), F.length(d))).otherwise(F.concat(d, F.lit("s"))).alias("text"))
+    t = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("qid"), F.when(F.pmod("p_partkey", F.lit(2)) == 0, d.substr(F.lit(3), F.length(d))).otherwise(F.concat(d, F.lit("s"))).alias("text"))
     return retrieval.unlike(t, _entries(spark, sf_dir))
 
 
@@ -445,10 +445,10 @@ def edit_fold(spark, sf_dir):  # noqa: ANN001, ANN201
 
 
 @query("""with d as (select doc_id as id, md5(text) as digest, row_number() over (partition by md5(text) order by doc_id) as n from documents where text is not null)
-select id, digest from d where n = 1 and digest not in (select md5(text) from documents where doc_id % 50 = 0 and text is not null)""")
+select id, digest from d where n = 1 and digest not in (select md5(text) from documents where source = 'archive_copy' and text is not null)""")
 def digest_dedup(spark, sf_dir):  # noqa: ANN001, ANN201
-    d = table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("id"), F.md5("text").alias("digest"))
-    return logs.new_only(d, d.where("id % 50 = 0")).select("id", "digest")
+    d = table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("id"), F.md5("text").alias("digest"), "source")
+    return logs.new_only(d, d.where("source = 'archive_copy'")).select("id", "digest")
 
 
 @query("""with r as (select c_nationkey as k, min(o_orderdate) + (i * interval 200 day) as since, (c_nationkey + i) % 7 as rate from orders join customer on o_custkey = c_custkey, range(0, 5) t(i) group by c_nationkey, i),
@@ -500,3 +500,57 @@ def stream_last_state(spark, sf_dir):  # noqa: ANN001, ANN201
 def stream_first_seen(spark, sf_dir):  # noqa: ANN001, ANN201
     rows = streams.arriving(spark, sf_dir, "events").where("props is not null").select(F.col("props").alias("digest"), "event_id")
     return streams.first_seen(rows, "digest", "event_id")
+
+
+# --- more checks and tables ----------------------------------------------------------------------
+
+@query("""with x as (select c_custkey, lpad((c_custkey * 7919 % 1000000000)::varchar, 9, '0') as id from customer),
+w as (select *, (id[1]::int * 7 + id[2]::int * 9 + id[3]::int * 8 + id[4]::int * 6 + id[5]::int * 5 + id[6]::int * 4 + id[7]::int * 3 + id[8]::int * 2) % 11 as r from x)
+select c_custkey, id, id[9]::int = (10 - r) % 9 + 1 as valid from w""")
+def identifier_check(spark, sf_dir):  # noqa: ANN001, ANN201
+    ids = table(spark, sf_dir, "customer").select("c_custkey", F.lpad((F.col("c_custkey") * 7919 % 1_000_000_000).cast("string"), 9, "0").alias("id"))
+    return ids.withColumn("valid", identifiers.taxpayer(F.col("id")))
+
+
+@query("""with t as (select l_orderkey as doc, l_linenumber as line, l_returnflag as kind from lineitem where l_partkey % 5 = 0), f as (select l_orderkey as doc, l_linenumber as line, l_returnflag as kind from lineitem where l_partkey % 10 in (0, 3)),
+k as (select distinct l_returnflag as kind from lineitem union select 'none'), td as (select distinct * from t), fd as (select distinct * from f),
+b as (select coalesce(td.kind, fd.kind) as kind, td.doc is not null as t, fd.doc is not null as f from td full join fd on td.doc = fd.doc and td.line = fd.line and td.kind = fd.kind)
+select k.kind, count(*) filter (t and f) as hits, count(*) filter (t and not f) as misses, count(*) filter (f and not t) as false_alarms from k left join b on k.kind = b.kind group by k.kind""")
+def finding_score(spark, sf_dir):  # noqa: ANN001, ANN201
+    l = table(spark, sf_dir, "lineitem")  # noqa: E741
+    cols = [F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("line"), F.col("l_returnflag").alias("kind")]
+    kinds = l.select(F.col("l_returnflag").alias("kind")).distinct().unionByName(spark.sql("select 'none' as kind"))
+    return scoring.found_against_truth(l.where("l_partkey % 10 in (0, 3)").select(cols), l.where("l_partkey % 5 = 0").select(cols), ["doc", "line"], "kind", kinds)
+
+
+@query("""with s as (select l_linenumber as setting, round(avg((l_quantity > 20)::int), 6) as score from lineitem group by 1), b as (select max(score) as best from s)
+select min(setting) as setting from s, b where score >= best - 0.01""")
+def depth_sweep(spark, sf_dir):  # noqa: ANN001, ANN201
+    points = table(spark, sf_dir, "lineitem").groupBy(F.col("l_linenumber").alias("setting")).agg(F.round(F.avg((F.col("l_quantity") > 20).cast("int")), 6).alias("score"))
+    return scoring.choose_depth(points)
+
+
+@query("""with r as (select p_brand as arm, avg(case when p_size % 2 = 0 then (p_retailprice > 1000)::int end) as e, avg(case when p_size % 2 = 1 then (p_retailprice > 1000)::int end) as n from part group by 1)
+select arm, round(coalesce(2 / 3::double * e + (1 - 2 / 3::double) * n, e, n), 6) as headline from r""")
+def resolve_headline(spark, sf_dir):  # noqa: ANN001, ANN201
+    hit = (F.col("p_retailprice") > 1000).cast("int")
+    rates = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("arm")).agg(F.avg(F.when(F.col("p_size") % 2 == 0, hit)).alias("e"), F.avg(F.when(F.col("p_size") % 2 == 1, hit)).alias("n"))
+    return rates.select("arm", F.round(scoring.headline(F.col("e"), F.col("n")), 6).alias("headline"))
+
+
+@query("""with d as (select *, row_number() over (partition by run_row_id order by loaded_at desc) as r from run_documents)
+select backend, count(*) as documents, count(*) filter (predicted) as predicted, sum(cost)::double as cost, quantile_disc(case when predicted and latency >= 0 and not isnan(latency) and not isinf(latency) then latency end, 0.5) as p50,
+quantile_disc(case when predicted and latency >= 0 and not isnan(latency) and not isinf(latency) then latency end, 0.95) as p95 from d where r = 1 group by backend""")
+def run_totals(spark, sf_dir):  # noqa: ANN001, ANN201
+    """Cost over all documents of a backend, latency over those with a prediction."""
+    d = latest(table(spark, sf_dir, "run_documents").select("run_row_id", "backend", "predicted", "cost", "latency", "loaded_at"), "run_row_id")
+    usable = F.when(F.col("predicted") & (F.col("latency") >= 0) & ~F.isnan("latency") & (F.col("latency") != float("inf")), F.col("latency"))
+    return d.withColumn("usable", usable).groupBy("backend").agg(
+        F.count("*").alias("documents"), F.count_if("predicted").alias("predicted"), F.sum("cost").cast("double").alias("cost"), scoring.nearest_rank("usable", 50).alias("p50"), scoring.nearest_rank("usable", 95).alias("p95")
+    )
+
+
+@query("""with c as (select *, row_number() over (partition by correction_id order by loaded_at desc) as r from corrections) select decision, count(*) as records, count(distinct document) as documents from c where r = 1 group by decision""")
+def corrections_by_decision(spark, sf_dir):  # noqa: ANN001, ANN201
+    c = latest(table(spark, sf_dir, "corrections").select("correction_id", "document", "decision", "loaded_at"), "correction_id")
+    return c.groupBy("decision").agg(F.count("*").alias("records"), F.countDistinct("document").alias("documents"))
