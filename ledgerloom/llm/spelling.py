@@ -1,20 +1,21 @@
 """Misspelt words and the words they stand for: a prefix-filtered set-similarity join on q-grams.
 
-Two words within d edits share at least g - 2 d of the longer one's g padded bigrams, so with all
-bigrams ordered from rare to frequent they share two among the first 2 d + 2 of each. Only words
-sharing such a pair of prefix bigrams are compared.
+Two words within d edits share at least g - 2 d of their g padded bigrams, so with all bigrams
+ordered from rare to frequent they share one among the first 2 d + 1 of each, d at most MOST_EDITS. Only words sharing
+such a prefix bigram are compared.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerloom.session import cut
 
 #: Rows of the side of supported words up to which it is broadcast; beyond it both sides are shuffled.
 BROADCAST_ROWS = 400_000
-LONGEST = 64
+MOST_EDITS = 2
 
 
 def distance(a: str, b: str, most: int) -> int:
@@ -39,29 +40,17 @@ def edits_allowed(word: Column) -> Column:
     return F.when(n < 4, 0).when(n < 6, 1).otherwise(2)
 
 
-def _grams(word: Column) -> Column:
-    """A word's padded bigrams, each with how often it has come in the word before."""
-    padded = F.concat(F.lit("^"), word, F.lit("$"))
-    plain = F.transform(F.sequence(F.lit(1), F.length(word) + 1), lambda i: padded.substr(i, F.lit(2)))
-    return _once(plain, lambda p: F.transform(p, lambda g, i: F.concat(g, F.size(F.filter(F.slice(p, 1, i + 1), lambda x: x == g)).cast("string"))))
-
-
-def _once(value: Column, use) -> Column:  # noqa: ANN001
-    """`use(value)`, with the value worked out once however often `use` names it."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
-def _signed(words: DataFrame, frequency: DataFrame, keys: list[str], most: Column) -> DataFrame:
-    """Each word with each pair of the bigrams in its prefix, rare ones first."""
-    ordered = (
-        words.select(*keys, "word", "n", F.explode(_grams(F.col("word"))).alias("gram"))
+def _prefixes(words: DataFrame, frequency: DataFrame, keys: list[str]) -> DataFrame:
+    padded = F.concat(F.lit("^"), F.col("word"), F.lit("$"))
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("word") + 1), lambda i: padded.substr(i, F.lit(2))))
+    w = W.partitionBy(*keys, "word").orderBy("df", "gram")
+    return (
+        words.select(*keys, "word", "n", F.explode(grams).alias("gram"))
         .join(F.broadcast(frequency), "gram")  # one row a bigram of the alphabet
-        .groupBy(*keys, "word", "n")
-        .agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("_g"))
+        .withColumn("_r", F.row_number().over(w))
+        .where(F.col("_r") <= 2 * MOST_EDITS + 1)
+        .drop("_r", "df")
     )
-    grams = F.transform(F.slice("_g", 1, 2 * most + 2), lambda x: x["gram"])
-    pairs = _once(grams, lambda p: F.flatten(F.transform(p, lambda x, i: F.transform(F.slice(p, i + 2, F.size(p)), lambda y: F.concat(x, y)))))
-    return ordered.select(*keys, "word", "n", F.explode(pairs).alias("sign"))
 
 
 def meant(words: DataFrame, keys: list[str] | None = None, most_share: float = 0.1, weak: int = 2, ties: bool = False) -> DataFrame:
@@ -71,23 +60,27 @@ def meant(words: DataFrame, keys: list[str] | None = None, most_share: float = 0
     words are compared, if any. A word is taken for a misspelling only of one that comes more
     often: at least 1 / most_share times, or any more where it comes at most `weak` times itself.
     With `ties`, of two that come equally seldom the first by name is taken to be meant.
-    Null and empty words have no row, nor have those of more than LONGEST letters, which no name,
-    street or town has.
+    Null and empty words have no row.
     """
     keys = keys or []
-    words = words.where(F.length("word").between(1, LONGEST)).select(*keys, "word", "n")
-    frequency = cut(words.select("word").distinct().select(F.explode(_grams(F.col("word"))).alias("gram")).groupBy("gram").agg(F.count("*").alias("df")))
-    most = edits_allowed(F.col("word"))
+    words = words.where("length(word) > 0").select(*keys, "word", "n")
+    padded = F.concat(F.lit("^"), F.col("word"), F.lit("$"))
+    frequency = cut(
+        words.select("word").distinct()
+        .select(F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("word") + 1), lambda i: padded.substr(i, F.lit(2))))).alias("gram"))
+        .groupBy("gram").agg(F.count("*").alias("df"))
+    )
+    prefixed = cut(_prefixes(words, frequency, keys))
+    strong = prefixed.where(f"n >= {1 if ties else 2}").select(*keys, "gram", F.col("word").alias("meant"), F.col("n").alias("m"))
+    small = strong.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     # Words that come more than this can't be a misspelling of any.
     top = words.agg(F.max("n")).first()[0] or 0
-    seldom = _signed(words.where((F.col("n") <= max(weak, int(most_share * top))) & (most > 0)), frequency, keys, most)
-    strong = _signed(words.where(f"n >= {1 if ties else 2}"), frequency, keys, F.lit(2))
-    strong = cut(strong.select(*keys, "sign", F.col("word").alias("meant"), F.col("n").alias("m")))
-    small = strong.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    seldom = prefixed.where(F.col("n") <= max(weak, int(most_share * top)))
+    most = F.greatest(edits_allowed(F.col("word")), F.lit(0))
     more = F.col("m") > F.col("n")
     if ties:
         more |= (F.col("m") == F.col("n")) & (F.col("meant") < F.col("word"))
-    near = seldom.join(F.broadcast(strong) if small else strong, [*keys, "sign"]).where(
+    near = seldom.join(F.broadcast(strong) if small else strong, [*keys, "gram"]).where(
         more & ((F.col("n") <= weak) | (F.col("n") <= most_share * F.col("m"))) & (F.abs(F.length("word") - F.length("meant")) <= most)
     )
     edits = F.levenshtein("word", "meant", 2)
