@@ -299,7 +299,7 @@ class Shard:
             if form in self.known:
                 out[form] = min(out.get(form, 9), cost)
         most = 0 if len(word) < 3 else 1 if len(word) < 6 else 2
-        if most and not out:
+        if most:
             for d, known in self.tree.within(word, 2):
                 d = d if d < 2 else distance(word, known)  # a swap is one edit
                 if 0 < d <= most and (len(known) > 3 or d == 1 and len(known) == 3 and len(word) > 3):

@@ -31,6 +31,18 @@ def test_search(text, sku):
     assert index.search(text)[1] == sku
 
 
+@pytest.mark.parametrize(("text", "sku"), [("Braided nilon rope 8 mm", "S1"), ("Recycled copy papel a3 75 gsm", "S2"), ("HEX BELT - M10 X 60MM - BLACK", "S3"), ("ribbed drive belt no 4", "S4"), ("soga nilon 8 mm", "S1"), ("papel bond a3 75 gsm", "S2")])
+def test_a_word_of_the_list_may_stand_for_another(text, sku):
+    entries = [("S1", "braided nylon rope 8 mm"), ("S2", "recycled copy paper a3 75 gsm"), ("S3", "black hex bolt m10 x 60"), ("S4", "ribbed drive belt no 4")]
+    assert catalogue.Shard(entries).search(text)[1] == sku
+
+
+def test_lookup_keeps_every_word_within_the_threshold():
+    index = catalogue.Shard([("S1", "braided nylon rope 8 mm"), ("S2", "black hex bolt m10 x 60"), ("S4", "ribbed drive belt no 4")])
+    assert index.means("belt") == {"belt": 0.0, "bolt": 0.55}
+    assert index.means("nilon") == {"nilon": 0.0, "nylon": 0.55}
+
+
 def test_match(spark, monkeypatch):
     entries = spark.createDataFrame(ENTRIES, "sku string, description string")
     lines = spark.createDataFrame([(1, "annealed copper pipe 12 mm", 0.5), (1, "annealed copper pipe 12 mm", 0.5), (2, None, 1.0), (3, "  --", 1.0), (4, "", 1.0), (5, "?9", 1.0), (6, "copper " * 20_000, 1.0)], "line_id bigint, text string, cost double")
