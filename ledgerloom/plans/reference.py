@@ -294,13 +294,18 @@ def tree_digest(spark, sf_dir):  # noqa: ANN001, ANN201
 
 # --- assignment ----------------------------------------------------------------------------------
 
-def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Within an order, its lines as billed against its lines as ordered: how alike their
-    quantities are, in thousandths, and 1000 more for the same part."""
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line with its place in its order, by all its columns: parts and line numbers repeat."""
     from pyspark.sql import Window as W
 
     rank = F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate"))
-    l = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("case_id"), rank.cast("long").alias("pos"), "l_partkey", F.col("l_quantity").cast("long").alias("q"))  # noqa: E741
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("case_id"), rank.cast("long").alias("pos"), "l_partkey", F.col("l_quantity").cast("long").alias("q"))
+
+
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Within an order, its lines as billed against its lines as ordered: how alike their
+    quantities are, in thousandths, and 1000 more for the same part."""
+    l = _lines(spark, sf_dir)  # noqa: E741
     a = l.select("case_id", F.col("pos").alias("left"), F.col("l_partkey").alias("ap"), F.col("q").alias("aq"))
     b = l.select("case_id", F.col("pos").alias("right"), F.col("l_partkey").alias("bp"), (F.col("q") + F.pmod("l_partkey", F.lit(3))).alias("bq"))
     worth = F.when(F.col("ap") == F.col("bp"), 1000).otherwise(0) + normalize.closeness(F.col("aq"), F.col("bq"))
@@ -320,25 +325,38 @@ def pair_candidates(spark, sf_dir):  # noqa: ANN001, ANN201
     return _edges(spark, sf_dir)
 
 
-@query("""with l as (select l_orderkey as doc, l_partkey as code, min(l_quantity) as quantity, count(*) as n from lineitem group by all having count(*) = 1),
-x as (select doc, count(*) as rows, count(*) filter (code % 10 <> 0) as paired, count(*) filter (code % 10 not in (0, 1)) as correct from l group by doc)
-select sum(correct)::bigint as matched, sum(rows - correct)::bigint as missing, sum(paired - correct)::bigint as spurious from x""")
-def line_item_score(spark, sf_dir):  # noqa: ANN001, ANN201
-    """Rows of a labelled table against a reading that drops some rows and misreads some
-    quantities: assigned by how many cells agree, right if every cell does; a wrong pair counts
-    as missing and as spurious."""
-    l = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc"), F.col("l_partkey").alias("code")).agg(F.min("l_quantity").cast("long").alias("q"), F.count("*").alias("n")).where("n = 1")  # noqa: E741
+def _line_score(l: DataFrame) -> DataFrame:  # noqa: E741
+    """Rows of a labelled table (doc, pos, code, q; pos tells a document's rows apart) against a
+    reading that drops some rows and misreads some quantities: assigned by how many cells agree,
+    right if every cell does; a wrong pair counts as missing and as spurious."""
     k = F.pmod("code", F.lit(10))
-    gold = l.select("doc", F.col("code").alias("left"), "q")
-    guess = l.where(k != 0).select("doc", F.col("code").alias("right"), F.when(k == 1, F.col("q") + 100).otherwise(F.col("q")).alias("rq"))
+    gold = l.select("doc", F.col("pos").alias("left"), F.col("code").alias("gc"), "q")
+    guess = l.where(k != 0).select("doc", F.col("pos").alias("right"), F.col("code").alias("rc"), F.when(k == 1, F.col("q") + 100).otherwise(F.col("q")).alias("rq"))
     scale = 100
-    edges = gold.join(guess, "doc").select("doc", "left", "right", (F.when(F.col("left") == F.col("right"), 2 * scale).otherwise(0) + F.when(F.col("q") == F.col("rq"), scale).otherwise(0) + F.when((F.col("left") == F.col("right")) & (F.col("q") == F.col("rq")), 1).otherwise(0)).cast("long").alias("worth"))
+    code, quantity = F.col("gc") == F.col("rc"), F.col("q") == F.col("rq")
+    edges = gold.join(guess, "doc").select("doc", "left", "right", (F.when(code, 2 * scale).otherwise(0) + F.when(quantity, scale).otherwise(0) + F.when(code & quantity, 1).otherwise(0)).cast("long").alias("worth"))
     pairs = assignment.assign(edges.where("worth > 0"), "doc")
     right = pairs.agg(F.count_if(F.col("worth") == 3 * scale + 1).alias("matched"))
     sums = gold.agg(F.count("*").alias("g")).withColumn("_", F.lit(1)).join(guess.agg(F.count("*").alias("s")).withColumn("_", F.lit(1)), "_").join(right.withColumn("_", F.lit(1)), "_")
     return sums.select(F.col("matched"), (F.col("g") - F.col("matched")).alias("missing"), (F.col("s") - F.col("matched")).alias("spurious"))
 
 
+@query("""with l as (select l_orderkey as doc, l_partkey as code, min(l_quantity) as quantity, count(*) as n from lineitem group by all having count(*) = 1),
+x as (select doc, count(*) as rows, count(*) filter (code % 10 <> 0) as paired, count(*) filter (code % 10 not in (0, 1)) as correct from l group by doc)
+select sum(correct)::bigint as matched, sum(rows - correct)::bigint as missing, sum(paired - correct)::bigint as spurious from x""")
+def line_item_score(spark, sf_dir):  # noqa: ANN001, ANN201
+    """The score over the lines whose part comes once in their order, as its SQL has it:
+    `line_item_score_all` scores every line."""
+    l = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc"), F.col("l_partkey").alias("code")).agg(F.min("l_quantity").cast("long").alias("q"), F.count("*").alias("n")).where("n = 1")  # noqa: E741
+    return _line_score(l.select("doc", F.col("code").alias("pos"), "code", "q"))
+
+
+@query()
+def line_item_score_all(spark, sf_dir):  # noqa: ANN001, ANN201
+    """The score over every line, repeated parts included, which only the assignment tells apart."""
+    return _line_score(_lines(spark, sf_dir).select(F.col("case_id").alias("doc"), "pos", F.col("l_partkey").alias("code"), "q"))
+
+
 # --- retrieval -----------------------------------------------------------------------------------
 
 def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:

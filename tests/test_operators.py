@@ -2,6 +2,7 @@ import hashlib
 import itertools
 import json
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import normalize
 from ledgerloom.operators import assignment, logs, retrieval, scoring
+from ledgerloom.plans import reference
 from ledgerloom.sources import readers
 
 
@@ -30,6 +32,23 @@ def test_assign_cases(spark):
     assert assignment.assign(edges.where("false")).count() == 0
 
 
+def test_every_line_is_scored_against_all_permutations(spark, tmp_path):
+    rng = random.Random(5)
+    lines = [(doc, code, rng.randint(1, 3)) for doc in range(40) for code in rng.choices([10, 11, 21, 32, 32, 43], k=rng.randint(1, 5))]
+    columns = "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_shipdate timestamp"
+    rows = [(doc, code, 1, rng.randint(1, 2), float(q), 1.0, 0.0, 0.0, None) for doc, code, q in lines]
+    spark.createDataFrame(rows, columns).write.parquet(str(tmp_path / "lineitem.parquet"))
+    worth = lambda a, b: 200 * (a[0] == b[0]) + 100 * (a[1] == b[1]) + (a == b)
+    matched = read = 0
+    for doc in range(40):
+        gold = [(code, q) for d, code, q in lines if d == doc]
+        guess = [(code, q + 100 * (code % 10 == 1)) for code, q in gold if code % 10]
+        read += len(guess)
+        matched += max((sum(worth(a, b) for a, b in zip(p, guess, strict=True)), sum(a == b for a, b in zip(p, guess, strict=True))) for p in itertools.permutations(gold, len(guess)))[1]
+    assert any(n > 1 for n in Counter((doc, code) for doc, code, _ in lines).values())
+    assert [tuple(r) for r in reference.line_item_score_all(spark, str(tmp_path)).collect()] == [(matched, len(lines) - matched, read - matched)]
+
+
 @pytest.mark.parametrize(
     ("printed", "number"),
     [("2,460.00", "2460"), ("2.460,00", "2460"), ("$2,500", "2500"), ("1.234.567", "1234567"), ("7.250%", "7.25"), ("340.00-", "-340"), ("$-1,234.50", "-1234.5"), ("$204,806,35", "204806.35"), ("0.00", "0"), ("EOM", None), (".5", "0.5"), (None, None)],
