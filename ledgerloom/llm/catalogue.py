@@ -330,7 +330,7 @@ class Shard:
 
     def _read(self, s: str) -> tuple[float, str]:
         bare = _SHORTS.sub(lambda m: f" {_SHORT[re.sub(r'[ ./]+', '', m[0])]} ", _BARE.sub(" ", s))
-        tokens = [t for t in re.findall(r"[a-z][a-z0-9]*\.?", bare) if t.rstrip(".") not in NOISE_WORDS][:24]
+        tokens = [t for t in re.findall(r"[a-z][a-z0-9]*\.?", bare) if t.rstrip(".") not in NOISE_WORDS]
         nouns = {n for t in tokens for w in self.means(t) for n in self.using.get(w, ())}
         best = (float("inf"), UNMATCHED)
         for noun in sorted(nouns):

@@ -43,6 +43,14 @@ def test_lookup_keeps_every_word_within_the_threshold():
     assert index.means("nilon") == {"nilon": 0.0, "nylon": 0.55}
 
 
+def test_every_word_of_a_long_text_counts():
+    index = catalogue.Shard([(s, d) for s, d in ENTRIES if s and d])
+    codes = " ".join(f"zq{i}" for i in range(10, 50))  # words with digits cost nothing
+    assert index.search(f"{codes} annealed copper pipe 12 mm")[1] == "S1"
+    assert index.search("annealed copper pipe 12 mm")[1] == index.search(f"annealed copper pipe 12 mm {codes}")[1] == "S1"
+    assert index.search(f"annealed copper pipe 12 mm {codes} vintage sundial harp saddle")[1] == "unmatched"
+
+
 def test_match(spark, monkeypatch):
     entries = spark.createDataFrame(ENTRIES, "sku string, description string")
     lines = spark.createDataFrame([(1, "annealed copper pipe 12 mm", 0.5), (1, "annealed copper pipe 12 mm", 0.5), (2, None, 1.0), (3, "  --", 1.0), (4, "", 1.0), (5, "?9", 1.0), (6, "copper " * 20_000, 1.0)], "line_id bigint, text string, cost double")
