@@ -134,7 +134,6 @@ def read(text: str | None) -> dict | None:
                 names.append({"word": word, "typed": bool(ending) or last in _BEFORE, "part": at})
         marks.append(sign)
         words.extend(names)
-    words = words[:8]
     if not number or not words:
         return None
     street = locality = ""
@@ -203,7 +202,7 @@ def gazetteer(records: DataFrame, options: DataFrame) -> tuple[DataFrame, DataFr
     put_right = plain.withColumnRenamed("street", "word").join(near, ["locality", "word"], "left").withColumn("street", F.coalesce("meant", "word"))
     put_right = cut(put_right)
     counted = lambda column: put_right.where(f"{column} <> ''").groupBy("locality", "street", column).agg(F.count("*").alias("k"))
-    listed = lambda column: counted(column).groupBy("locality", "street").agg(F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("k", column)))), 1, 8).alias(f"{column}s"))
+    listed = lambda column: counted(column).groupBy("locality", "street").agg(F.reverse(F.array_sort(F.collect_list(F.struct("k", column)))).alias(f"{column}s"))
     entry = F.concat_ws("|", "street", "locality").alias("entry")
     spellings = put_right.select(entry, F.explode(F.array("street", "raw", "word")).alias("spelling")).distinct()
     entries = (
@@ -296,28 +295,32 @@ def resolve(addresses: DataFrame) -> DataFrame:
     # Keys by which an address and an entry meet: a spelling of the street with a spelling of the
     # locality, a postcode, or, where it has neither, a region.
     spans = records.select(
-        "address_id", "postcode", "region", "words",
+        "address_id", "postcode", "region", F.size("words").alias("names"),
         F.explode(F.concat(
             F.transform("words", lambda w, i: F.struct(w.alias("first"), F.lit("").alias("second"), i.alias("at"), F.lit(1).alias("len"))),
             F.when(F.size("words") > 1, F.transform(F.slice("words", 1, F.size("words") - 1), lambda w, i: F.struct(w.alias("first"), F.get("words", i + 1).alias("second"), i.alias("at"), F.lit(2).alias("len"))))
             .otherwise(F.array().cast("array<struct<first:string,second:string,at:int,len:int>>")),
         )).alias("_s"),
-    ).select("address_id", "postcode", "region", "words", "_s.*")
+    ).select("address_id", "postcode", "region", "names", "_s.*")
     spelt = lambda name: options.select(F.col("word").alias(name), F.col("meant").alias(f"to_{name}"))
     spans = spans.join(spelt("first"), "first").join(spelt("second"), "second", "left").withColumn("street", F.trim(F.concat_ws(" ", "to_first", "to_second")))
     spans = spans.join(spellings.select(F.col("spelling").alias("street")).distinct(), "street", "left_semi")
-    others = F.filter(F.transform("words", lambda w, i: F.when((i < F.col("at")) | (i >= F.col("at") + F.col("len")), w)), lambda w: w.isNotNull())
-    by_word = spans.withColumn("word", F.explode(others)).join(options.select("word", "meant"), "word").select("address_id", "street", F.concat(F.lit("l:"), "meant").alias("sign"))
-    by_post = spans.where("postcode <> ''").select("address_id", "street", F.concat(F.lit("p:"), "postcode").alias("sign"))
-    by_region = spans.where("region <> '' and postcode = '' and size(words) = len").select("address_id", "street", F.concat(F.lit("r:"), "region").alias("sign"))
+    # A span meets its address's other names by a join: each carrying all of them would square a long text.
+    others = records.select("address_id", F.posexplode("words").alias("i", "word")).join(options.select("word", "meant"), "word").join(streets.select(F.col("locality").alias("meant")).distinct(), "meant", "left_semi")
+    by_word = spans.select("address_id", "postcode", "region", "street", "at", "len").join(others, "address_id").where("i < at or i >= at + len").select("address_id", "postcode", "region", "street", F.concat(F.lit("l:"), "meant").alias("sign"))
+    by_post = spans.where("postcode <> ''").select("address_id", "postcode", "region", "street", F.concat(F.lit("p:"), "postcode").alias("sign"))
+    by_region = spans.where("region <> '' and postcode = '' and names = len").select("address_id", "postcode", "region", "street", F.concat(F.lit("r:"), "region").alias("sign"))
     signs = F.concat(
         F.array(F.concat(F.lit("l:"), "locality")),
         F.coalesce(F.transform("postcodes", lambda x: F.concat(F.lit("p:"), x["postcode"])), F.array().cast("array<string>")),
         F.coalesce(F.transform("regions", lambda x: F.concat(F.lit("r:"), x["region"])), F.array().cast("array<string>")),
     )
     keyed = streets.select("entry", F.explode(signs).alias("sign")).join(spellings.select("entry", F.col("spelling").alias("street")), "entry")
-    proposed = by_word.unionByName(by_post).unionByName(by_region).join(keyed, ["street", "sign"]).select("address_id", "entry").distinct()
-    entries = proposed.join(streets, "entry").groupBy("address_id").agg(F.collect_list(F.struct("entry", "street", "locality", "n", "postcodes", "regions")).alias("entries"))
+    proposed = by_word.unionByName(by_post).unionByName(by_region).join(keyed, ["street", "sign"]).select("address_id", "postcode", "region", "entry").distinct()
+    # Of a street's postcodes the search weighs the record's own, those near it and the most frequent; of its regions the own and the most frequent.
+    weighed = lambda column, near: F.filter(f"{column}s", lambda x: near(x[column]) | (x[column] == F.get(f"{column}s", F.lit(0))[column])).alias(f"{column}s")
+    proposed = proposed.join(streets, "entry").select("address_id", "entry", "street", "locality", "n", weighed("postcode", lambda x: F.levenshtein(x, F.col("postcode")) <= 1), weighed("region", lambda x: x == F.col("region")))
+    entries = proposed.groupBy("address_id").agg(F.collect_list(F.struct("entry", "street", "locality", "n", "postcodes", "regions")).alias("entries"))
     return records.join(entries, "address_id", "left").mapInPandas(_search, "address_id string, entry string, number string, unit string")
 
 

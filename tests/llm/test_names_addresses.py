@@ -64,6 +64,14 @@ def test_locations(spark):
     assert addresses.same_location(df.where("false")).count() == 0
 
 
+def test_names_after_the_eighth_and_a_ninth_postcode_count(spark):
+    long = "Tallin Verbo Quandar Hesmil Dorvan Peltor Wixom Granel\n12 Merolin Street\nBorkabel, TX 99999"
+    listed = [f"{20 + i} Merolin Street\nBorkabel, TX {str(i % 8 + 1) * 5}" for i in range(16)] + ["12 Merolin Street\nBorkabel, TX 99999", "12 Merolin Street\n99999", long]
+    assert addresses.read(long)["words"][-2:] == ["merolin", "borkabel"]
+    df = spark.createDataFrame([(f"{100 + i}/v", text) for i, text in enumerate(listed)], "address_id string, text string")
+    assert {tuple(r) for r in addresses.same_location(df).collect()} == {("116/v", "117/v"), ("116/v", "118/v"), ("117/v", "118/v")}
+
+
 def test_read_address():
     r = addresses.read("U31, PEGURER CL 96\nGREAT BORKABEL, LR28 6EQ")
     assert (r["number"], r["unit"], r["postcode"], r["street"], r["locality"]) == ("96", "31", "lr286eq", "pegurer", "borkabel")
