@@ -18,7 +18,18 @@ def p3_children(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p3_children(spark, sf_dir).select(*FOUND)
+    """The child rows the cases name; shapes no route takes are told by p3_variants."""
+    return p3_children(spark, sf_dir).where(F.col("child") != nested.UNKNOWN).select(*FOUND)
+
+
+def p3_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The structural variants met, known and unknown, and how often."""
+    return nested.variants(p3_children(spark, sf_dir))
+
+
+def p3_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The typed table of header values, linked to their document."""
+    return nested.subtype(p3_children(spark, sf_dir), "field").select("record_id", "item_name", "value_pos", "value", "number")
 
 
 def p3_pairings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,5 +51,5 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return units.base_amounts(lines.withColumn("at", F.unix_timestamp("loaded_at")), table(spark, sf_dir, "base_units"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_pairings": p3_pairings, "p5_found": p5_found}
+QUERIES = {"p3_found": p3_found, "p3_variants": p3_variants, "p3_fields": p3_fields, "p3_pairings": p3_pairings, "p5_found": p5_found}
 ORACLES: dict[str, str] = {}

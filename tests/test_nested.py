@@ -36,7 +36,7 @@ def test_corrections_and_subtypes(spark):
     text = json.dumps([{"kind": "cell", "line": 1, "fieldtype": "q", "left": ["1", ""]}, {"kind": "line added", "left": {"a": "1", "b": None}}, {"nothing": 1}])
     df = spark.createDataFrame([(7, text)], "id bigint, corrections string")
     found = nested.shred(df, "id", {"corrections": "corrections"})
-    assert sorted((r.child, r.item_pos, r.item_name, r.value_pos, r.value) for r in found.collect()) == [("cell", 0, "q", 0, "1"), ("line added", 1, "a", 0, "1")]
+    assert sorted((r.child, r.item_pos, r.item_name, r.value_pos, r.value) for r in found.collect()) == [("cell", 0, "q", 0, "1"), ("line added", 1, "a", 0, "1"), ("unknown", 2, "corrections: nothing", -1, None)]
     match = spark.createDataFrame([(1, json.dumps({"pairings": [{"invoice_line": 4, "po_line": 2, "code": 0.5}]}))], "id bigint, match string")
     one = nested.subtype(nested.shred(match, "id", {"match": "match"}), "pairing").collect()
     assert [(r.record_id, r.invoice_line, r.po_line, r.code) for r in one] == [(1, 4, 2, 0.5)]
@@ -47,6 +47,30 @@ def test_empty_table(spark):
 
 
 def test_states():
-    assert nested.state_of({"kind": "cell"}) == "correction"
-    assert nested.state_of(["a", None, ""]) == "values"
-    assert nested.state_of([{"a": 1}]) == "list"
+    assert "value correction" in nested.states_of({"kind": "cell"})
+    assert "line correction" in nested.states_of({"kind": "line added", "left": {"a": "1"}})
+    assert "value correction" not in nested.states_of({"kind": "line added", "left": {"a": "1"}})
+    assert "values" in nested.states_of(["a", None, ""])
+    assert "values" not in nested.states_of([{"a": 1}])
+    assert "match" in nested.states_of({"findings": [{"type": "t"}]})
+
+
+def test_rows_come_only_from_routes():
+    value = {"pairings": [{"foo": 1}, {"invoice_line": 1}], "findings": [{"type": "t", "invoice": "a", "candidate": {"line": 1, "code": None}}], "not_compared": [{"reason": "absent", "texts": ["x"]}]}
+    every = list(nested.rows("match", value))
+    assert ("unknown", 0, "pairings: foo") in [r[:3] for r in every]
+    assert [r[:2] for r in every if r[0] == "pairing"] == [("pairing", 1)]
+    for route in [r for r in nested.ROUTES if r.parent in ("match", "finding", "not_compared")]:
+        left = {r[0] for r in nested.rows("match", value, nested._routes(r for r in nested.ROUTES if r is not route))}
+        if route.child != "finding_text":
+            assert route.child not in left, route
+
+
+def test_leaf_subtypes_and_variants(spark):
+    text = json.dumps({"fields": {"a": ["x", "1.5"]}, "line_items": {"q": 2}})
+    df = spark.createDataFrame([(1, text)], "id bigint, reading string")
+    found = nested.shred(df, "id", {"reading": "reading"})
+    assert sorted((r.item_name, r.value_pos, r.value, r.number) for r in nested.subtype(found, "field").collect()) == [("a", 0, "x", None), ("a", 1, "1.5", 1.5)]
+    assert [(r.item_pos, r.number) for r in nested.subtype(found, "line_item").collect()] == [(0, 2.0)]
+    match = spark.createDataFrame([(1, json.dumps({"pairings": [{"po_line": 4, "invoice_line": 1}, {"po_line": 2}]}))], "id bigint, match string")
+    assert sorted((r.child, r["shape"], r.n) for r in nested.variants(nested.shred(match, "id", {"match": "match"})).collect()) == [("pairing", "invoice_line po_line", 1), ("pairing", "po_line", 1)]
