@@ -1,27 +1,34 @@
 """Quantities in their dimension's base unit.
 
 Each line is read into a quantity and the units its text allows. Most texts allow one unit; a
-few (`oz`, `mt`, `m`, `pt`, `gr`, a quote mark) allow several. The unit is the hidden state of a
-Markov chain per device - here the article, told by the letters of its description. Emissions
-are the prior of each meaning of the text and a normal law of the log of the base amount around
-the device's level in that dimension; transitions favour staying with a unit and its dimension.
-The Viterbi path gives each line's unit.
-
-Scale: levels are pre-aggregated per device and dimension; only devices that have a line with
-several meanings are decoded; a device with many lines is decoded in blocks of bounded length, so
-no article, however frequent, is one task.
+few (`oz`, `mt`, `m`, `gr`, a quote mark) allow several. The unit is the hidden state of a Markov
+chain per device - here the article, told by the letters of its description - over all of its
+lines in time. Emissions are the prior of each meaning of the text, how often the device is counted
+in its dimension, and a normal law of the log of the base amount around the device's level in that
+dimension, which moves with time; transitions favour staying with a unit and its dimension. The
+Viterbi path gives each line's unit, so a switch of unit shows as a jump of the log value against
+the level and is anchored by the lines around it.
+
+Scale: a chain none of whose lines has several meanings is decoded as it stands. The others are
+range-partitioned by device and time, so that a device with a third of all lines is consecutive
+blocks in many tasks. A block that cuts a device is summed up by the best score from each of its
+first line's states to each of its last's; the summaries (two a block) are joined by the same
+recursion and each block is decoded between the states so found. Scores are whole numbers, so the
+path is the one of the whole chain however it is cut.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import re
+import zlib
 from collections.abc import Iterable, Iterator
 from fractions import Fraction
 from functools import lru_cache
 
-import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -198,7 +205,19 @@ def rounded(value: Fraction) -> int:
     return int(math.floor(value + Fraction(1, 2)))
 
 
-READ = "line_id bigint, device string, at double, options array<struct<unit:string,dimension:string,base:bigint,prior:double>>"
+READ = "line_id bigint, device string, words array<string>, at double, options array<struct<unit:string,dimension:string,base:bigint,prior:double>>"
+
+
+@lru_cache(maxsize=100_000)
+def skeleton(word: str) -> str:
+    """A word's first letter and the consonants after it, none twice in a row: vowels are what typing and shortening lose first."""
+    kept = word[0] + "".join(c for c in word[1:] if c not in "aeiouyäöüáéíóúàèìòùñ")
+    return "".join(c for i, c in enumerate(kept) if not i or c != kept[i - 1])
+
+
+def device_of(description: str | None) -> list[str]:
+    """What tells a device: the skeletons of all its description's words of four letters or more, in order."""
+    return sorted({skeleton(w) for w in re.findall(r"[^\W\d_]{4,}", (description or "").lower())})
 
 
 def _read(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -212,88 +231,264 @@ def _read(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             options = [{"unit": n, "dimension": DIMENSIONS[n], "base": rounded(amount * k * SIZES[n]), "prior": p} for n, k, p in units]
             options = [o for o in options if abs(o["base"]) < 2**63]
             if options:
-                words = sorted({w for w in re.findall(r"[^\W\d_]{4,}", d.lower())})
-                out.append((line, " ".join(words[:4]), at, options))
-        yield pd.DataFrame(out, columns=["line_id", "device", "at", "options"])
+                words = device_of(d)
+                out.append((line, " ".join(words) if words else f"#{line}", words, at, options))
+        yield pd.DataFrame(out, columns=["line_id", "device", "words", "at", "options"])
 
 
-STAY, SAME_DIMENSION, SWITCH = math.log(0.7), math.log(0.25), math.log(0.05)
-BLOCK = 5_000
+#: Scores are logarithms in whole billionths: sums do not depend on the order they are made in.
+UNIT_SCORE = 10**9
+
+
+def whole(x: float) -> int:
+    return round(x * UNIT_SCORE)
+
+
+STAY, SAME_DIMENSION, SWITCH = whole(math.log(0.7)), whole(math.log(0.25)), whole(math.log(0.05))
+#: Lines in one block of chains, about.
+BLOCK = 200_000
 # How far the log of a base amount strays from its level at least, and where no level is known.
 LEAST_SPREAD, NO_SPREAD = 3.0, 4.0
+#: Lines that what is known of a description's words counts for, beside the device's own.
+WORD_LINES = 3.0
+#: The level is taken from months around a line, each further one counting half.
+MONTH, MONTHS = 30 * 86_400, 3
+
+#: A state: unit, dimension, score of its emission.
+Step = list[tuple[str, str, int]]
 
 
-def viterbi(steps: list[list[tuple[str, str, float]]]) -> list[int]:
-    """The likeliest state of each step; a step lists (unit, dimension, log of its emission)."""
-    score = [e for _, _, e in steps[0]]
-    back: list[list[int]] = []
+def moved(before: tuple[str, str, int], now: tuple[str, str, int]) -> int:
+    return STAY if before[0] == now[0] else SAME_DIMENSION if before[1] == now[1] else SWITCH
+
+
+def forward(steps: list[Step], entering: list[int | None]) -> tuple[list[int | None], list[list[int]]]:
+    """Best scores of the last step's states and each step's pointers back, from scores of the first's (None: shut)."""
+    scores, back = entering, []
     for before, now in zip(steps, steps[1:], strict=False):
         pointers, totals = [], []
-        for unit, dim, emission in now:
-            ways = [s + (STAY if unit == u else SAME_DIMENSION if dim == d else SWITCH) for s, (u, d, _) in zip(score, before, strict=True)]
-            best = max(range(len(ways)), key=ways.__getitem__)
-            pointers.append(best)
-            totals.append(ways[best] + emission)
-        score = totals
+        for state in now:
+            best, at = None, 0
+            for k, s in enumerate(scores):
+                if s is not None and (best is None or s + moved(before[k], state) > best):
+                    best, at = s + moved(before[k], state), k
+            pointers.append(at)
+            totals.append(None if best is None else best + state[2])
+        scores = totals
         back.append(pointers)
-    path = [max(range(len(score)), key=score.__getitem__)]
+    return scores, back
+
+
+def _trace(back: list[list[int]], last: int) -> list[int]:
+    path = [last]
     for pointers in reversed(back):
         path.append(pointers[path[-1]])
     return path[::-1]
 
 
-def _decode(group: pd.DataFrame) -> pd.DataFrame:
-    group = group.sort_values(["at", "line_id"])
-    steps = []
-    for options, levels in zip(group["options"], group["levels"], strict=True):
-        level = {x["dimension"]: x for x in (levels if levels is not None else [])}
-        step = []
-        for o in options:
-            e = math.log(o["prior"])
-            x = level.get(o["dimension"])
-            seen = x["n"] if x is not None else 0
-            total = sum(y["n"] for y in level.values())
-            e += math.log(seen + 0.05 * total + 0.5)  # a dimension not seen yet is never ruled out
-            if seen >= 3 and o["base"]:
-                spread = max(LEAST_SPREAD, x["spread"] if np.isfinite(x["spread"]) else LEAST_SPREAD)
-                e -= ((math.log(abs(o["base"])) - x["level"]) / spread) ** 2 / 2 + math.log(spread)
-            else:
-                e -= 0.5 + math.log(NO_SPREAD)
-            step.append((o["unit"], o["dimension"], e))
-        steps.append(step)
-    chosen = [o[k] for o, k in zip(group["options"], viterbi(steps), strict=True)]
-    return pd.DataFrame({"line_id": group["line_id"].to_numpy(), "dimension": [o["dimension"] for o in chosen], "base_amount": [o["base"] for o in chosen]})
-
-
-def base_amounts(lines: DataFrame, base_units: DataFrame) -> DataFrame:
+def _best(scores: list[int | None]) -> int:
+    return max((k for k, s in enumerate(scores) if s is not None), key=lambda k: (scores[k], -k))
+
+
+def viterbi(steps: list[Step], first: int | None = None, last: int | None = None) -> list[int]:
+    """The likeliest state of each step, with the first's and the last's given or free. A line of
+    one meaning parts the chain: what comes before it and after it are decoded apart."""
+    path: list[int] = []
+    start = 0
+    while start < len(steps):
+        end = start + 1
+        while end < len(steps) and len(steps[end]) > 1:
+            end += 1
+        # steps[start .. end - 1] and, if there is one, the single state that ends them
+        part = steps[start : end + 1]
+        entering = [s[2] if first is None or start or k == first else None for k, s in enumerate(part[0])]
+        scores, back = forward(part, entering)
+        if end < len(steps):
+            found = _trace(back, 0)[:-1]
+        else:
+            found = _trace(back, last if last is not None else _best(scores))
+        path += found
+        start = end
+    return path
+
+
+def through(steps: list[Step]) -> list[list[int | None]]:
+    """The best score from each state of the first step to each of the last."""
+    cut_at = next((i for i, s in enumerate(steps) if i and len(s) == 1), None)
+    own = lambda k: [s[2] if i == k else None for i, s in enumerate(steps[0])]
+    if cut_at is None:
+        return [forward(steps, own(k))[0] for k in range(len(steps[0]))]
+    heads = [forward(steps[: cut_at + 1], own(k))[0][0] for k in range(len(steps[0]))]
+    tail = forward(steps[cut_at:], [0])[0]
+    return [[None if h is None or t is None else h + t for t in tail] for h in heads]
+
+
+def emissions(line_id: int, options: list[dict], known: list[dict] | None, near: list[dict] | None, said: list[dict] | None) -> Step:
+    """The states of a line of several meanings. `known`: how often the device is counted in each
+    dimension; `near`: its level and spread there about that time; `said`: the share of each
+    dimension among the lines with its description's words."""
+    seen = {x["dimension"]: x["n"] for x in (known if known is not None else ())}
+    level = {x["dimension"]: x for x in (near if near is not None else ())}
+    words = {x["dimension"]: x["share"] for x in (said if said is not None else ())}
+    total = sum(seen.values()) + (WORD_LINES if words else 0.0)
+    step = []
+    for k, o in enumerate(options):
+        d = o["dimension"]
+        own = seen.get(d, 0) + WORD_LINES * words.get(d, 0.0)
+        e = math.log(o["prior"]) + math.log(own + 0.05 * total + 0.5)  # a dimension not seen yet is never ruled out
+        x = level.get(d)
+        if seen.get(d, 0) >= 3 and x is not None and o["base"]:
+            spread = max(LEAST_SPREAD, math.sqrt(max(x["variance"], 0.0)))
+            e -= ((math.log(abs(o["base"])) - x["level"]) / spread) ** 2 / 2 + math.log(spread)
+        else:
+            e -= 0.5 + math.log(NO_SPREAD)
+        # Of meanings alike in all else the first listed is taken: later ones lose a trifle, by line, so that paths never tie.
+        step.append((o["unit"], d, whole(e) - (k * (1 + zlib.crc32(str(line_id).encode()) % 100_003))))
+    return step
+
+
+def _chains(batches: Iterable[pd.DataFrame]) -> Iterator[tuple[str, list[int], list[list[dict]], list[Step]]]:
+    """A block's devices in order, each with its lines, their options and their states."""
+    device, ids, options, steps = None, [], [], []
+    for batch in batches:
+        for d, line, o, known, near, said in zip(batch["device"], batch["line_id"], batch["options"], batch["known"], batch["near"], batch["said"], strict=True):
+            if d != device:
+                if ids:
+                    yield device, ids, options, steps
+                device, ids, options, steps = d, [], [], []
+            ids.append(line)
+            options.append(o)
+            steps.append([(o[0]["unit"], o[0]["dimension"], 0)] if len(o) == 1 else emissions(line, o, known, near, said))
+    if ids:
+        yield device, ids, options, steps
+
+
+SUMMARY = "block int, place int, device string, first string, last string, scores string"
+
+
+def _summaries(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """What the first and the last device of a block add to their chains."""
+    block, ends = TaskContext.get().partitionId(), []
+    for place, (device, _, _, steps) in enumerate(_chains(batches)):
+        one = (block, place, device, steps)
+        ends = [*ends[:1], one]
+    rows = [(b, p, d, json.dumps(s[0]), json.dumps(s[-1]), json.dumps(through(s))) for b, p, d, s in ends]
+    yield pd.DataFrame(rows, columns=["block", "place", "device", "first", "last", "scores"])
+
+
+def joined(summaries: list[dict]) -> dict[tuple[int, str], tuple[int, int]]:
+    """For each device cut by blocks, the states of its first and its last line in each block."""
+    by_device: dict[str, list[dict]] = {}
+    for s in sorted(summaries, key=lambda s: (s["block"], s["place"])):
+        by_device.setdefault(s["device"], []).append(s)
+    out: dict[tuple[int, str], tuple[int, int]] = {}
+    for device, parts in by_device.items():
+        if len(parts) < 2:
+            continue
+        firsts, lasts, scores = ([json.loads(p[c]) for p in parts] for c in ("first", "last", "scores"))
+        # entering[k]: the best score before the block, its first line's state being k
+        entering: list[int | None] = [0] * len(firsts[0])
+        pointers = []
+        for i in range(len(parts)):
+            leaving, ways = [], []
+            for j in range(len(lasts[i])):
+                own = [None if e is None or scores[i][k][j] is None else e + scores[i][k][j] for k, e in enumerate(entering)]
+                ways.append(_best(own))
+                leaving.append(own[ways[-1]])
+            pointers.append((ways, []))
+            if i + 1 < len(parts):
+                entering = []
+                for state in firsts[i + 1]:
+                    own = [None if s is None else s + moved(lasts[i][j], state) for j, s in enumerate(leaving)]
+                    pointers[i][1].append(_best(own))
+                    entering.append(own[pointers[i][1][-1]])
+        last = _best(leaving)
+        for i in reversed(range(len(parts))):
+            first = pointers[i][0][last]
+            out[parts[i]["block"], device] = first, last
+            if i:
+                last = pointers[i - 1][1][first]
+    return out
+
+
+def _decoding(between: object):  # noqa: ANN202
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        block, known = TaskContext.get().partitionId(), between.value
+        rows = []
+        for device, ids, options, steps in _chains(batches):
+            first, last = known.get((block, device), (None, None))
+            rows += [(i, o[k]["dimension"], o[k]["base"]) for i, o, k in zip(ids, options, viterbi(steps, first, last), strict=True)]
+            if len(rows) > 20_000:
+                yield pd.DataFrame(rows, columns=["line_id", "dimension", "base_amount"])
+                rows = []
+        yield pd.DataFrame(rows, columns=["line_id", "dimension", "base_amount"])
+
+    return run
+
+
+def decode(chains: DataFrame, blocks: int | None = None) -> DataFrame:
+    """`line_id, dimension, base_amount` of every line of `chains` (device, at, line_id, options,
+    known, near, said), by the path of each device's whole chain, in as many blocks as needed."""
+    spark = chains.sparkSession
+    blocks = blocks or max(1, -(-chains.count() // BLOCK))
+    placed = cut(chains.repartitionByRange(blocks, "device", "at", "line_id").sortWithinPartitions("device", "at", "line_id"))
+    summaries = [r.asDict() for r in placed.mapInPandas(_summaries, SUMMARY).collect()] if blocks > 1 else []  # two rows a block
+    return placed.mapInPandas(_decoding(spark.sparkContext.broadcast(joined(summaries))), "line_id bigint, dimension string, base_amount bigint")
+
+
+def base_amounts(lines: DataFrame, base_units: DataFrame, blocks: int | None = None) -> DataFrame:
     """`line_id, base_unit, base_amount` of every line with a readable quantity of a convertible unit.
 
     `lines` has line_id, quantity, unit, description and `at` (seconds, the order of a device's
-    lines); other columns are not read. A line gives no row where its quantity is null, empty or
-    unreadable, its unit is missing, unknown or a container of unstated content, or its dimension
-    is not in `base_units`. Ties between meanings go to the one listed first.
+    lines; null comes first); other columns are not read. A line gives no row where its quantity is
+    null, empty or unreadable, its unit is missing, unknown or a container of unstated content, or
+    its dimension is not in `base_units`. Ties between meanings go to the one listed first; a line
+    without words in its description is a device of its own. `blocks` only says how the chains are
+    cut; the result is the same for any number.
     """
-    read = lines.select("line_id", "quantity", "unit", "description", F.col("at").cast("double")).mapInPandas(_read, READ)
-    read = cut(read)  # read three times below
-    one = read.where(F.size("options") == 1).select("line_id", "device", "at", "options")
+    read = lines.select("line_id", "quantity", "unit", "description", F.coalesce(F.col("at").cast("double"), F.lit(0.0)).alias("at")).mapInPandas(_read, READ)
+    read = cut(read)  # read several times below
+    one = read.where(F.size("options") == 1)
     several = read.where(F.size("options") > 1)
-    devices = several.where(F.length("device") > 0).select("device").distinct()
-    level = (
-        one.join(devices, "device", "left_semi")
-        .select("device", F.col("options")[0]["dimension"].alias("dimension"), F.log(F.abs(F.nullif(F.col("options")[0]["base"], F.lit(0)))).alias("x"))
-        .groupBy("device", "dimension")
-        .agg(F.count("*").alias("n"), F.avg("x").alias("level"), F.stddev_samp("x").alias("spread"))
-        .groupBy("device")
-        .agg(F.collect_list(F.struct("dimension", "n", F.coalesce("level", F.lit(0.0)).alias("level"), F.coalesce("spread", F.lit(1.0)).alias("spread"))).alias("levels"))
+    devices = cut(several.select("device").distinct())
+    anchors = one.join(devices, "device", "left_semi")
+    first = F.col("options")[0]
+    month = F.floor(F.col("at") / MONTH)
+    # Counts, and sums of the log base amount, by device, dimension and month: as many rows as months, however many lines.
+    x = F.log(F.abs(F.nullif(first["base"], F.lit(0))))
+    monthly = cut(
+        anchors.select("device", first["dimension"].alias("dimension"), month.alias("month"), x.alias("x"))
+        .groupBy("device", "dimension", "month").agg(F.count("*").alias("n"), F.count("x").alias("k"), F.coalesce(F.sum("x"), F.lit(0.0)).alias("s"), F.coalesce(F.sum(F.col("x") * F.col("x")), F.lit(0.0)).alias("q"))
+    )
+    known = monthly.groupBy("device", "dimension").agg(F.sum("n").alias("n")).groupBy("device").agg(F.array_sort(F.collect_list(F.struct("dimension", "n"))).alias("known"))
+    # The level about a month: the months around it, each further one counting half, and all of them a little.
+    shift = F.explode(F.sequence(F.lit(-MONTHS), F.lit(MONTHS))).alias("shift")
+    weight = F.pow(F.lit(0.5), F.abs("shift"))
+    wanted = several.select("device", month.alias("month")).distinct()
+    around = monthly.select("device", "dimension", "k", "s", "q", "month", shift).select("device", "dimension", (F.col("month") + F.col("shift")).alias("month"), *[(F.col(c) * weight).alias(c) for c in "ksq"])
+    always = monthly.groupBy("device", "dimension").agg(*[(F.sum(c) * 0.01).alias(c) for c in "ksq"]).join(wanted, "device").select("device", "dimension", "month", "k", "s", "q")
+    levels = (
+        around.join(wanted, ["device", "month"], "left_semi").select("device", "dimension", "month", "k", "s", "q").unionByName(always)
+        .groupBy("device", "dimension", "month").agg(*[F.sum(c).alias(c) for c in "ksq"]).where("k > 0")
+        .select("device", "month", F.struct("dimension", (F.col("s") / F.col("k")).alias("level"), (F.col("q") / F.col("k") - F.pow(F.col("s") / F.col("k"), F.lit(2))).alias("variance")).alias("_l"))
+        .groupBy("device", "month").agg(F.array_sort(F.collect_list("_l")).alias("near"))
+    )
+    # Shares of the dimensions among all lines with a word, averaged over a line's words: for devices seldom seen.
+    words = several.select("line_id", F.explode("words").alias("word"))
+    shares = one.select(F.explode("words").alias("word"), first["dimension"].alias("dimension")).groupBy("word", "dimension").agg(F.count("*").alias("n"))
+    shares = cut(shares.join(words.select("word").distinct(), "word", "left_semi"))
+    totals = shares.groupBy("word").agg(F.sum("n").alias("t"))
+    counted = words.join(totals, "word").groupBy("line_id").agg(F.count("*").alias("words"))
+    said = (
+        words.join(shares.join(totals, "word"), "word").groupBy("line_id", "dimension").agg(F.sum(F.col("n") / F.col("t")).alias("p")).join(counted, "line_id")
+        .groupBy("line_id").agg(F.array_sort(F.collect_list(F.struct("dimension", (F.col("p") / F.col("words")).alias("share")))).alias("said"))
     )
-    # A device's chain is cut into blocks of its lines, so that a frequent one is many tasks.
-    blocks = several.groupBy("device").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    chains = (
-        several.join(level, "device", "left")
-        .join(blocks, "device")
-        .withColumn("block", F.when(F.length("device") == 0, F.xxhash64("line_id")).otherwise(F.pmod(F.xxhash64("line_id"), F.col("blocks"))))
-        .drop("blocks")
+    asked = (
+        several.withColumn("month", month).join(known, "device", "left").join(levels, ["device", "month"], "left").join(said, "line_id", "left")
+        .select("device", "at", "line_id", "options", "known", "near", "said")
     )
-    decoded = chains.groupBy("device", "block").applyInPandas(_decode, "line_id bigint, dimension string, base_amount bigint")
-    single = one.select("line_id", F.col("options")[0]["dimension"].alias("dimension"), F.col("options")[0]["base"].alias("base_amount"))
-    return single.unionByName(decoded).join(base_units.select("dimension", "base_unit"), "dimension").select("line_id", "base_unit", "base_amount")
+    none = lambda column: F.lit(None).cast(asked.schema[column].dataType).alias(column)
+    chains = asked.unionByName(anchors.select("device", "at", "line_id", "options", none("known"), none("near"), none("said")))
+    decoded = decode(chains, blocks)
+    alone = one.join(devices, "device", "left_anti").select("line_id", first["dimension"].alias("dimension"), first["base"].alias("base_amount"))
+    return alone.unionByName(decoded).join(base_units.select("dimension", "base_unit"), "dimension").select("line_id", "base_unit", "base_amount")

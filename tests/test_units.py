@@ -1,4 +1,6 @@
 import itertools
+import json
+import random
 from fractions import Fraction
 
 import pytest
@@ -37,17 +39,57 @@ def test_not_convertible(quantity, unit, description):
     assert units.stated(quantity, unit, description) is None
 
 
-def test_viterbi_is_the_best_of_all_paths():
-    steps = [[("m", "length", -0.1), ("thousand", "count", -2.0)], [("m", "length", -3.0), ("thousand", "count", -0.2)], [("m", "length", -0.3), ("thousand", "count", -0.4)]]
+def random_steps(rng, n):
+    states = [("oz", "mass"), ("fl_oz", "volume"), ("gross", "count"), ("g", "mass")]
+    return [[(u, d, units.whole(-rng.random() * 4)) for u, d in rng.sample(states, rng.choice([1, 2, 2, 3]))] for _ in range(n)]
+
+
+def worth(steps, path):
+    return sum(s[k][2] for s, k in zip(steps, path, strict=True)) + sum(units.moved(a[x], b[y]) for (a, b), (x, y) in zip(itertools.pairwise(steps), itertools.pairwise(path), strict=True))
 
-    def worth(path):
-        total = sum(step[k][2] for step, k in zip(steps, path, strict=True))
-        for (a, b), (x, y) in zip(itertools.pairwise(steps), itertools.pairwise(path), strict=True):
-            (u, d, _), (v, e, _) = a[x], b[y]
-            total += units.STAY if u == v else units.SAME_DIMENSION if d == e else units.SWITCH
-        return total
 
-    assert worth(units.viterbi(steps)) == max(worth(p) for p in itertools.product((0, 1), repeat=3))
+def test_viterbi_is_the_best_of_all_paths():
+    rng = random.Random(3)
+    for _ in range(60):
+        steps = random_steps(rng, 6)
+        every = list(itertools.product(*(range(len(s)) for s in steps)))
+        assert worth(steps, units.viterbi(steps)) == max(worth(steps, p) for p in every)
+        first, last = 0, len(steps[-1]) - 1
+        bound = max(worth(steps, p) for p in every if p[0] == first and p[-1] == last)
+        assert worth(steps, units.viterbi(steps, first, last)) == bound == units.through(steps)[first][last]
+
+
+def test_blocks_join_to_the_whole_chain():
+    rng = random.Random(4)
+    for _ in range(30):
+        steps = random_steps(rng, 40)
+        whole = units.viterbi(steps)
+        for size in (1, 3, 7, 25):
+            parts = [steps[i : i + size] for i in range(0, len(steps), size)]
+            known = units.joined([{"block": b, "place": 0, "device": "d", "first": json.dumps(p[0]), "last": json.dumps(p[-1]), "scores": json.dumps(units.through(p))} for b, p in enumerate(parts)])
+            path = [k for b, p in enumerate(parts) for k in units.viterbi(p, *known.get((b, "d"), (None, None)))]
+            assert worth(steps, path) == worth(steps, whole)
+            assert path == whole
+
+
+def test_result_does_not_depend_on_blocks(spark):
+    """A frequent device whose unit changes, cut in any number of blocks, and devices inside blocks."""
+    rng = random.Random(5)
+    bases = spark.createDataFrame([("mass", "g"), ("count", "ea"), ("volume", "ml")], "dimension string, base_unit string")
+    data = []
+    for i in range(4000):
+        volume = (i // 400) % 2 == 0
+        unit = rng.choice(["oz", "oz", "oz", "l" if volume else "kg"])
+        data.append((i, str(rng.choice([1, 2, 9000])), unit, "olive syrup extra" if i % 7 else f"paper number{i % 5} other", float(i * 3600)))
+    lines = spark.createDataFrame(data, "line_id bigint, quantity string, unit string, description string, at double")
+    found = [sorted(map(tuple, units.base_amounts(lines, bases, blocks=n).collect())) for n in (1, 2, 8)]
+    assert found[0] == found[1] == found[2]
+    assert len(found[0]) == 4000 and len({r[1] for r in found[0]}) == 2
+
+
+def test_device_survives_misspelling():
+    assert units.device_of("Graphite gasket set, no 4") == units.device_of("grphite  GASKET, No. 4")
+    assert units.device_of(None) == []
 
 
 def test_lines(spark):
