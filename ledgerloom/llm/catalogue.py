@@ -7,10 +7,15 @@ description's words are looked up there; the entries whose words they stand for
 left over and the size, which must be equal once it is in the entry's own unit. The best entry of
 each shard of the reference list meets those of the others; a description that no entry fits is
 `unmatched`.
+
+What an entry costs does not depend on its shard: which words the whole list knows and which
+finishes an article has anywhere in it are worked out once, over the whole list.
 """
 
 from __future__ import annotations
 
+import itertools
+import os
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
@@ -29,7 +34,7 @@ SHARD = 50_000
 #: A description costs this much at most: see `weigh`.
 MOST_COST = 2.6
 
-# Other names and translations of articles.
+# Other names and translations of articles; `match` takes others in their place.
 NAMES = {
     "garden hose": "gartenschlauch|manguera jardin|manguera|water hose|hose pipe",
     "washing soda": "waschsoda|sosa para lavar|sodium carbonate",
@@ -250,37 +255,56 @@ def _abbreviates(short: str, word: str) -> bool:
 _LETTERS = str.maketrans("0135689", "olessbg")
 
 
+_STOP = {"and", "of", "y", "por", "en", "de", "para"}
+_KINDS = ("bolt", "oil", "paper", "ipe", "mm2", "pack", "ml", "kg", "mm", "w", "no", "grade", "class", "tariff", "rate", "tier", "grit", "sheet")
+
+
+def entry(sku: str, description: str, names: dict[str, str]) -> dict:
+    """An entry's article (a name known, else its last two words), finish and size."""
+    text = plain(description)
+    kind, size, stem = "", (), text
+    for k in _KINDS:
+        hits = [m for p in _SIZES[k] for m in p.finditer(text) if m.end() == len(text)]
+        if hits:
+            kind, size, stem = k, sizes(text, k)[-1], text[: hits[0].start()].strip()
+            break
+    words = stem.split()
+    noun = next((n for i in range(len(words)) if (n := " ".join(words[i:])) in names), "") or " ".join(words[-2:])
+    return {"sku": sku, "kind": kind, "size": size, "noun": noun, "finish": stem[: len(stem) - len(noun)].split()}
+
+
+def phrases_of(noun: str, names: dict[str, str]) -> list[list[str]]:
+    return [p.split() for p in [noun, *filter(None, names.get(noun, "").split("|"))]]
+
+
+def words_of(e: dict, names: dict[str, str]) -> set[str]:
+    """The words of the list that an entry brings: its article's, under all names, and its finish's."""
+    return ({w for p in phrases_of(e["noun"], names) for w in p} | set(e["finish"])) - _STOP
+
+
 class Shard:
-    """Part of the reference list, ready to be searched."""
-
-    def __init__(self, entries: list[tuple[str, str]]) -> None:
-        self.entries: list[dict] = []
-        phrases: dict[str, list[list[str]]] = {}
-        for sku, description in sorted(entries):
-            text = plain(description)
-            kind, size, stem = "", (), text
-            for k in ("bolt", "oil", "paper", "ipe", "mm2", "pack", "ml", "kg", "mm", "w", "no", "grade", "class", "tariff", "rate", "tier", "grit", "sheet"):
-                hits = [m for p in _SIZES[k] for m in p.finditer(text) if m.end() == len(text)]
-                if hits:
-                    kind, size, stem = k, sizes(text, k)[-1], text[: hits[0].start()].strip()
-                    break
-            noun = max((n for n in NAMES if stem == n or stem.endswith(f" {n}")), key=len, default="")
-            noun = noun or " ".join(stem.split()[-2:])
-            finish = stem[: len(stem) - len(noun)].split()
-            self.entries.append({"sku": sku, "kind": kind, "size": size, "noun": noun, "finish": finish})
-            phrases.setdefault(noun, [p.split() for p in [noun, *filter(None, NAMES.get(noun, "").split("|"))]])
+    """Part of the reference list, ready to be searched.
+
+    `known` are the words of the whole list and `finishes` those of each article anywhere in it;
+    without them the part is the whole.
+    """
+
+    def __init__(self, entries: list[tuple[str, str]], names: dict[str, str] | None = None, known: set[str] | None = None, finishes: dict[str, set[str]] | None = None) -> None:
+        names = NAMES if names is None else names
+        self.entries = [entry(sku, description, names) for sku, description in sorted(entries)]
         self.by_noun: dict[str, list[dict]] = {}
         for e in self.entries:
             self.by_noun.setdefault(e["noun"], []).append(e)
-        self.phrases = phrases
-        words = {w for ps in phrases.values() for p in ps for w in p} | {w for e in self.entries for w in e["finish"]}
-        self.words = sorted(words - {"and", "of", "y", "por", "en", "de", "para"})
+        self.phrases = phrases = {noun: phrases_of(noun, names) for noun in self.by_noun}
+        self.words = sorted({w for e in self.entries for w in words_of(e, names)})
         self.own = sorted({w for noun in phrases for w in noun.split()} | {w for e in self.entries for w in e["finish"]} - {"and", "of"})
         self.tree = BKTree(self.words)
-        self.finishes: dict[str, set[str]] = {}
-        for e in self.entries:
-            self.finishes.setdefault(e["noun"], set()).update(e["finish"])
-        self.known = set(self.words)
+        if finishes is None:
+            finishes = {}
+            for e in self.entries:
+                finishes.setdefault(e["noun"], set()).update(e["finish"])
+        self.finishes = finishes
+        self.known = set(self.words) if known is None else known
         self.using: dict[str, set[str]] = {}
         for noun, ps in phrases.items():
             for p in ps:
@@ -314,7 +338,7 @@ class Shard:
         """The cheapest way to find a phrase's words among the free tokens."""
         cost, used = 0.0, []
         for w in phrase:
-            if w in ("and", "of", "y", "por", "en", "de", "para"):
+            if w in _STOP:
                 continue
             best = min(((self.means(tokens[i])[w], i) for i in free if i not in used and w in self.means(tokens[i])), default=None)
             if best is None:
@@ -340,7 +364,7 @@ class Shard:
                     continue
                 cost, used = placed
                 free = set(range(len(tokens))) - set(used)
-                if cost < best[0]:
+                if cost <= best[0]:
                     fitting = self._fitting(noun, s)
                     best = min([best, *(self._weigh(e, cost, free, tokens, noun) for e in fitting)])
         return best if best[0] <= MOST_COST else (float("inf"), UNMATCHED)
@@ -377,15 +401,18 @@ class Shard:
         return round(cost, 4), e["sku"]
 
 
-@lru_cache(maxsize=2)
-def _shard(entries: tuple) -> Shard:
-    """A shard and what it has looked up, kept by a worker from one task to the next."""
-    return Shard(list(entries))
+_built: dict[int, Shard] = {}
 
 
-def _search(shard: object):  # noqa: ANN202
+def _search(shared: object):  # noqa: ANN202
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = _shard(tuple(map(tuple, shard.value)))
+        # A shard and what it has looked up are kept by a worker from one task to the next.
+        key, part, names, known, finishes = shared.value
+        if key not in _built:
+            while len(_built) > 1:
+                _built.pop(next(iter(_built)))
+            _built[key] = Shard(part, names, known, finishes)
+        index = _built[key]
         for batch in batches:
             found = [index.search(t) for t in batch["text"]]
             yield pd.DataFrame({"line_id": batch["line_id"], "cost": [c for c, _ in found], "sku": [sku for _, sku in found]})
@@ -393,29 +420,54 @@ def _search(shard: object):  # noqa: ANN202
     return run
 
 
-def match(lines: DataFrame, entries: DataFrame) -> DataFrame:
+def _lexicon(listed: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Each entry with its article, finish and words: `sku, description, shard, noun, finish, words`."""
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            read = [entry(sku, d, names) for sku, d in zip(batch["sku"], batch["description"], strict=True)]
+            yield batch.assign(noun=[e["noun"] for e in read], finish=[e["finish"] for e in read], words=[sorted(words_of(e, names)) for e in read])
+
+    return listed.mapInPandas(run, "sku string, description string, shard bigint, noun string, finish array<string>, words array<string>")
+
+
+_keys = itertools.count(1)
+
+
+def match(lines: DataFrame, entries: DataFrame, names: dict[str, str] | None = None, shards: int | None = None) -> DataFrame:
     """`line_id, sku` of each described line: the sku of the entry meant, or `unmatched`.
 
     `lines` has line_id and text; a line whose text is null or holds no letter or digit has no
     row. `entries` has sku and description; rows with a null in either are no entries, and with no
     entries every line is unmatched. Of entries that fit equally well the first sku is taken.
+    `names` gives the other names of articles, parted by bars (NAMES unless given); every worker
+    holds them. An article without any is known by its own words.
 
     Lines are searched where they are read, without a shuffle; a worker keeps what it has looked
     up, so texts that a third of all lines share are searched once a worker. The reference list is
-    read in shards of bounded size, each sent to the workers on its own; with more than one, a
-    line's best of each shard are compared.
+    read in shards of bounded size, each sent to the workers on its own, with the words of the
+    whole list (its vocabulary) and the finishes of the shard's articles anywhere in it; with more
+    than one, a line's best of each shard are compared. `shards` only says how the list is cut;
+    the result is the same for any number.
     """
     spark = lines.sparkSession
+    names = NAMES if names is None else names
     listed = entries.where("sku is not null and description is not null").select("sku", "description").distinct()
-    lines = lines.select("line_id", "text").where("line_id is not null and text rlike '[\\\\p{L}\\\\p{N}]'")
-    shards = max(1, -(-listed.count() // SHARD))
-    if shards > 1:
-        lines, listed = cut(lines), cut(listed.withColumn("shard", F.pmod(F.xxhash64("sku"), F.lit(shards))))
+    lines = lines.select("line_id", "text").where(F.col("line_id").isNotNull() & F.col("text").rlike(r"[\p{L}\p{N}]"))
+    shards = shards or max(1, -(-listed.count() // SHARD))
+    if shards == 1:
+        part = [tuple(r) for r in listed.orderBy("sku", "description").collect()]
+        shared = spark.sparkContext.broadcast((f"{os.getpid()}/{next(_keys)}", part, names, None, None))
+        return lines.mapInPandas(_search(shared), "line_id bigint, cost double, sku string").select("line_id", "sku")
+    lines = cut(lines)
+    lexicon = cut(_lexicon(listed.withColumn("shard", F.pmod(F.xxhash64("sku"), F.lit(shards))), names))
+    known = {r["word"] for r in lexicon.select(F.explode("words").alias("word")).distinct().collect()}
     whole = None
     for k in range(shards):
-        part = [(r["sku"], r["description"]) for r in (listed.where(F.col("shard") == k) if shards > 1 else listed).select("sku", "description").orderBy("sku", "description").collect()]
-        found = lines.mapInPandas(_search(spark.sparkContext.broadcast(part)), "line_id bigint, cost double, sku string")
+        own = lexicon.where(F.col("shard") == k)
+        part = [tuple(r) for r in own.select("sku", "description").orderBy("sku", "description").collect()]
+        finishes = lexicon.join(own.select("noun").distinct(), "noun", "left_semi").select("noun", F.explode_outer("finish").alias("word")).groupBy("noun").agg(F.collect_set("word").alias("words"))
+        shared = spark.sparkContext.broadcast((f"{os.getpid()}/{next(_keys)}", part, names, known, {r["noun"]: set(r["words"]) for r in finishes.collect()}))
+        found = lines.mapInPandas(_search(shared), "line_id bigint, cost double, sku string")
         whole = found if whole is None else whole.unionByName(found)
-    if shards == 1:
-        return whole.select("line_id", "sku")
     return whole.groupBy("line_id").agg(F.min_by("sku", F.struct("cost", "sku")).alias("sku"))

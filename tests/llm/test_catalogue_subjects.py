@@ -61,6 +61,50 @@ def test_match(spark, monkeypatch):
     assert sorted(map(tuple, catalogue.match(lines, entries).distinct().collect())) == sorted(set(want))
 
 
+def test_result_does_not_depend_on_shards(spark):
+    """Also where another shard knows a word, or a finish of the same article."""
+    listed = [("B1", "white wall paint 10 l"), ("B2", "blue wall paint 5 l"), ("B3", "brown rope 4 mm"), ("B4", "blue rope 4 mm"), ("B5", "garden hose 10 m"), ("B6", "wood panel 4 mm"), *[(s, d) for s, d in ENTRIES if s and d]]
+    texts = ["blue wall paint 10 l", "white wall paint 10 l", "wall paint 10 l", "blu rope 4 mm", "rope 4 mm", "brown panel 4 mm", "wod panel 4mm", "hose 10 m", "copper pipe 32 mm", "annealed copper pipe 32 mm", "freight", "blue garden hose 10 m"]
+    entries = spark.createDataFrame(listed, "sku string, description string")
+    lines = spark.createDataFrame(list(enumerate(texts)), "line_id bigint, text string")
+    found = [sorted(map(tuple, catalogue.match(lines, entries, shards=n).collect())) for n in (1, 2, 8)]
+    assert found[0] == found[1] == found[2]
+    assert dict(found[0])[0] == "unmatched"
+
+
+def test_unseen_catalogue():
+    """Articles the code has no names for, given a table of their other names, keyed with typos, short forms and other orders."""
+    rng = random.Random(11)
+    nouns = ["brass kettle", "canvas tent", "quartz clock", "ceramic vase", "rubber mallet", "velvet curtain", "walnut shelf", "chrome faucet", "linen apron", "pewter tankard"]
+    finishes = ["polished", "matte", "striped", "hammered", "folding", "insulated"]
+    marks = ["12 mm", "30 mm", "2 kg", "5 kg", "no 3", "no 8"]
+    other = {"brass kettle": "messingkessel", "canvas tent": "segeltuchzelt", "quartz clock": "reloj cuarzo"}
+    entries = [(f"N{i}", f"{f} {n} {m}") for i, (n, f, m) in enumerate((n, f, m) for n in nouns for f in finishes for m in marks) if i % 3]
+    index = catalogue.Shard(entries, names=other)
+
+    def keyed(text):
+        noun = next(n for n in nouns if n in text)
+        if noun in other and rng.random() < 0.2:
+            text = text.replace(noun, other[noun])
+        words = text.split()
+        at = rng.randrange(len(words) - 2)
+        w = words[at]
+        if rng.random() < 0.5 and len(w) > 5:
+            i = rng.randrange(1, len(w) - 1)
+            words[at] = rng.choice([w[:i] + w[i + 1 :], w[:i] + w[i + 1] + w[i] + w[i + 2 :], w[:i] + rng.choice("xzqk") + w[i + 1 :]])
+        elif len(w) > 6:
+            words[at] = w[0] + "".join(c for c in w[1:] if c not in "aeiou")
+        size = words[-2:]
+        head = words[:-2]
+        return " ".join(rng.choice([head + size, size + head, [*head[1:], *size, ",", head[0]]])).upper()
+
+    cases = [(keyed(d), sku) for sku, d in entries for _ in range(2)]
+    right = sum(index.search(text)[1] == sku for text, sku in cases)
+    assert right / len(cases) >= 0.9, right / len(cases)
+    absent = [f"{f} {n} {m}" for i, (n, f, m) in enumerate((n, f, m) for n in nouns for f in finishes for m in marks) if not i % 3]
+    assert sum(index.search(text)[1] == "unmatched" for text in absent) / len(absent) >= 0.9
+
+
 def test_subjects(spark):
     rng = random.Random(7)
     goods = {"food": ["rye loaves", "olive jars", "lunch trays", "red wine"], "law": ["court days", "will drafting", "deed copies", "notary acts"]}
