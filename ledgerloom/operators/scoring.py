@@ -31,8 +31,9 @@ def field_flags(labeled: DataFrame, read: DataFrame, keys: list[str]) -> DataFra
     side = lambda df, gold: df.select(*keys, "fieldtype", "text", F.lit(gold).alias("gold"), F.lit(1 - gold).alias("guess"))
     # One shuffle, on the keys: the grouping below keeps that partitioning, and values are made
     # comparable after it, in parallel however few files they came from.
-    both = side(labeled, 1).unionByName(side(read, 0)).repartition(*keys).withColumn("norm", norm).where("norm <> ''")
-    return both.groupBy(*keys, "fieldtype", "norm").agg(F.max("gold").alias("gold"), F.max("guess").alias("guess"))
+    both = side(labeled, 1).unionByName(side(read, 0)).repartition(*keys).withColumn("norm", norm)
+    # Blanks go after the grouping: a filter on the key would be pushed below it and make every value comparable twice.
+    return both.groupBy(*keys, "fieldtype", "norm").agg(F.max("gold").alias("gold"), F.max("guess").alias("guess"), F.max(F.length("norm")).alias("_n")).where("_n > 0").drop("_n")
 
 
 def counted(flags: DataFrame, by: list[str]) -> DataFrame:
