@@ -24,7 +24,7 @@ def taxpayer(value: Column) -> Column:
 def citizen(value: Column) -> Column:
     """Whether eleven digits pass the Luhn check; null on null."""
     digits = compact(value)
-    return F.when(digits.rlike(r"^\d{11}$"), F.luhn_check(digits)).when(value.isNotNull(), F.lit(False))
+    return F.when(digits.rlike(r"^\d{11}$"), F.call_function("luhn_check", digits)).when(value.isNotNull(), F.lit(False))
 
 
 def receipt(value: Column) -> Column:

@@ -10,7 +10,6 @@ other only, and what is kept of a pair is a few numbers.
 
 from __future__ import annotations
 
-from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -52,22 +51,20 @@ class Tolerance(NamedTuple):
     percent: str
     cent: str
 
-    def margin(self, value: Column) -> Column:
-        return (F.lit(self.percent).cast("decimal(5,4)") * value).cast("decimal(32,10)")
+    def margin(self, value: str) -> str:
+        return f"cast(cast('{self.percent}' as decimal(5,4)) * {value} as decimal(32,10))"
 
-    def exceeded(self, value: Column, against: Column) -> Column:
-        over = value - against
-        return (over > self.margin(against)) & (over > F.lit(self.cent).cast("decimal(5,2)"))
+    def exceeded(self, value: str, against: str) -> str:
+        return f"({value} - {against} > {self.margin(against)} and {value} - {against} > cast('{self.cent}' as decimal(5,2)))"
 
 
 MONEY, EXACT = Tolerance("0.01", "0.01"), Tolerance("0", "0")
 
 
-def band(value: Column, against: Column, tolerance: Tolerance = MONEY) -> Column:
-    """`near` or `far` by how much a value is over; null within the tolerance and beyond the far band."""
-    over = value - against
-    near, far = (over <= F.lit(x).cast("decimal(5,4)") * against for x in (NEAR_SHARE, FAR_SHARE))
-    return F.when(tolerance.exceeded(value, against), F.when(near, "near").when(far, "far"))
+def band(value: str, against: str, tolerance: Tolerance = MONEY) -> Column:
+    """`near` or `far` by how much a value (an SQL expression of decimals) is over; null within the tolerance and beyond the far band."""
+    over = f"{value} - {against}"
+    return F.expr(f"case when {tolerance.exceeded(value, against)} then case when {over} <= {NEAR_SHARE} * {against} then 'near' when {over} <= {FAR_SHARE} * {against} then 'far' end end")
 
 
 def quantity_band(value: Column, lowered: Column) -> Column:
@@ -82,26 +79,30 @@ def _named(cell: str) -> str:
     return cell.replace(" ", "_")
 
 
-def _texts(fields: Column, cell: str) -> Column:
+def _texts(fields: str, cell: str) -> Column:
     """The texts of the first of a cell's fieldtypes that carries one; null where none does. A blank text is none."""
-    kept = [F.filter(F.get(F.array(fields[f]), F.lit(0)), lambda x: F.length(normalize.text(x)) > 0) for f in CELLS[cell]]
-    return F.coalesce(*[F.when(F.size(k) > 0, k) for k in kept])
+    kept = [f"filter({fields}['{f}'], x -> length({_text_sql('x')}) > 0)" for f in CELLS[cell]]
+    return F.expr("coalesce(" + ", ".join(f"case when size({k}) > 0 then {k} end" for k in kept) + ")")
 
 
-def _numbers(texts: Column) -> Column:
-    return F.transform(texts, lambda x: normalize.number(x).try_cast(AMOUNT))
+def _text_sql(x: str) -> str:
+    return f"lower(trim(regexp_replace({x}, '\\\\s+', ' ')))"
+
+
+def _numbers(texts: str) -> Column:
+    return F.expr(f"transform({texts}, x -> try_cast({normalize.number_sql('x')} as {AMOUNT}))")
 
 
 def cells(lines: DataFrame, *keep: str, names: tuple[str, ...] = LINE_CELLS) -> DataFrame:
     """For each cell, its texts as printed (null if absent), `_n`: each read as a number (null where
     it doesn't read), and `_t`: each as compared text, distinct and in order. `lines` has a map
     `fields` of fieldtype to an array of texts; null maps, arrays and texts are absent."""
-    out = lines.select(*keep, *[_texts(F.col("fields"), c).alias(_named(c)) for c in names])
+    out = lines.select(*keep, *[_texts("fields", c).alias(_named(c)) for c in names])
     numeric = [c for c in names if c in (*VALUE_CELLS, "tax")]
     return out.select(
         "*",
-        *[_numbers(F.col(_named(c))).alias(f"{_named(c)}_n") for c in numeric],
-        *[F.array_sort(F.array_distinct(F.transform(_named(c), normalize.text))).alias(f"{_named(c)}_t") for c in names if c in ("unit", "code", "description")],
+        *[_numbers(_named(c)).alias(f"{_named(c)}_n") for c in numeric],
+        *[F.expr(f"array_sort(array_distinct(transform({_named(c)}, x -> {_text_sql('x')})))").alias(f"{_named(c)}_t") for c in names if c in ("unit", "code", "description")],
     )
 
 
@@ -121,29 +122,40 @@ def signature() -> Column:
 
 # --- pairing ---------------------------------------------------------------------------------------
 
-def _best_of(one: Column, other: Column, measure) -> Column:  # noqa: ANN001
-    """The greatest measure of any of one's values with any of the other's; null where a side has none."""
-    return F.array_max(F.flatten(F.transform(one, lambda x: F.transform(other, lambda y: measure(x, y)))))
+def _best_of(one: str, other: str, measure: str) -> str:
+    """The greatest measure (of x and y) of any of one's values with any of the other's; null where a side has none."""
+    return f"array_max(flatten(transform({one}, x -> transform({other}, y -> {measure}))))"
+
+
+def _similar(x: str, y: str) -> str:
+    return f"(1 - levenshtein({x}, {y}) / greatest(length({x}), length({y})))"
+
 
+def _nearness(x: str, y: str) -> str:
+    """Smaller over larger magnitude in thousandths, half up: 0 for opposite signs, 1000 for two zeros."""
+    low, high = (f"cast({f}(abs({x}), abs({y})) as double)" for f in ("least", "greatest"))
+    return f"cast(case when {x} = 0 and {y} = 0 then 1000 when ({x} < 0) <> ({y} < 0) then 0 else floor({low} * 1000 / {high} + 0.5) end as bigint)"
 
-def _alike(cell: str) -> Column:
-    a, b = F.col(f"a.{cell}_t"), F.col(f"b.{cell}_t")
-    single = (F.size(a) == 1) & (F.size(b) == 1)
-    return F.when(single, normalize.similarity(F.get(a, F.lit(0)), F.get(b, F.lit(0)))).when(a.isNotNull() & b.isNotNull(), _best_of(a, b, normalize.similarity))
 
+def _single(a: str, b: str) -> str:
+    return f"size({a}) = 1 and size({b}) = 1"
 
-def _close(cell: str) -> Column:
-    a, b = F.col(f"a.{_named(cell)}_n"), F.col(f"b.{_named(cell)}_n")
-    single = (F.size(a) == 1) & (F.size(b) == 1)
-    whole = lambda x: F.filter(x, lambda v: v.isNotNull())
-    best = F.when(single, normalize.closeness(F.get(a, F.lit(0)), F.get(b, F.lit(0)))).otherwise(_best_of(whole(a), whole(b), normalize.closeness))
-    return F.coalesce(best, F.lit(0).cast("long"))
 
+def _alike(cell: str) -> str:
+    a, b = f"a.{cell}_t", f"b.{cell}_t"
+    return f"case when {_single(a, b)} then {_similar(f'{a}[0]', f'{b}[0]')} when {a} is not null and {b} is not null then {_best_of(a, b, _similar('x', 'y'))} end"
 
-def _agree(cell: str) -> Column:
+
+def _close(cell: str) -> str:
+    a, b = f"a.{_named(cell)}_n", f"b.{_named(cell)}_n"
+    whole = lambda x: f"filter({x}, v -> v is not null)"
+    return f"coalesce(case when {_single(a, b)} then {_nearness(f'{a}[0]', f'{b}[0]')} else {_best_of(whole(a), whole(b), _nearness('x', 'y'))} end, 0L)"
+
+
+def _agree(cell: str) -> str:
     """Whether two sides share a value of a cell, as it is compared: as a number, or where it reads as none as text."""
-    side = lambda s: F.zip_with(f"{s}.{_named(cell)}", f"{s}.{_named(cell)}_n", lambda t, n: F.coalesce(n.cast("string"), normalize.text(t)))
-    return F.coalesce(F.arrays_overlap(side("a"), side("b")), F.lit(False)).cast("long")
+    side = lambda s: f"zip_with({s}.{_named(cell)}, {s}.{_named(cell)}_n, (t, n) -> coalesce(cast(n as string), {_text_sql('t')}))"
+    return f"cast(coalesce(arrays_overlap({side('a')}, {side('b')}), false) as bigint)"
 
 
 def compared(invoice: DataFrame, ordered: DataFrame) -> DataFrame:
@@ -156,15 +168,14 @@ def compared(invoice: DataFrame, ordered: DataFrame) -> DataFrame:
     a, b = invoice.where(pairable()), ordered.where(pairable())
     counts = a.groupBy("case_id").agg(F.count("*").alias("_a")).join(b.groupBy("case_id").agg(F.count("*").alias("_b")), "case_id")
     both = a.alias("a").join(b.alias("b"), "case_id").join(counts, "case_id")
-    same_unit = (F.size("a.unit_t") > 0) & (F.col("a.unit_t") == F.col("b.unit_t"))
-    nameless = F.coalesce(F.col("a.code"), F.col("a.description"), F.col("b.code"), F.col("b.description")).isNull()
-    out = both.select(
-        "case_id", F.col("a.pos").alias("left"), F.col("b.pos").alias("right"), F.least("_a", "_b").alias("_n"), _alike("code").alias("code"), _alike("description").alias("description"),
-        (reduce(lambda x, y: x + y, map(_close, VALUE_CELLS)) + F.when(same_unit, 1000).otherwise(0)).alias("values"),
-        F.when(nameless, reduce(lambda x, y: x + y, map(_agree, VALUE_CELLS))).otherwise(0).alias("_agreements"),
+    nameless = "coalesce(a.code, a.description, b.code, b.description) is null"
+    out = both.selectExpr(
+        "case_id", "a.pos as left", "b.pos as right", "least(_a, _b) as _n", f"{_alike('code')} as code", f"{_alike('description')} as description",
+        f"{' + '.join(map(_close, VALUE_CELLS))} + case when size(a.unit_t) > 0 and a.unit_t = b.unit_t then 1000 else 0 end as values",
+        f"case when {nameless} then {' + '.join(map(_agree, VALUE_CELLS))} else 0 end as _agreements",
     )
-    graded = reduce(lambda x, y: x + y, [F.when(F.col(c) >= floor, F.bround(F.col(c) * 1000)).otherwise(0).cast("long") for c, floor in FLOORS.items()])
-    out = out.withColumn("deciding", graded).withColumn("deciding", F.when(F.col("deciding") > 0, F.col("deciding")).otherwise(F.col("_agreements")))
+    graded = " + ".join(f"case when {c} >= {floor}D then cast(bround({c} * 1000) as bigint) else 0L end" for c, floor in FLOORS.items())
+    out = out.withColumn("deciding", F.expr(graded)).withColumn("deciding", F.expr("case when deciding > 0 then deciding else _agreements end"))
     scale = 4 * 1000 * F.col("_n") + 1
     return out.select("case_id", "left", "right", "code", "description", "values", "deciding", F.when(F.col("deciding") > 0, F.col("deciding") * scale + F.col("values")).otherwise(0).cast("long").alias("worth"))
 
@@ -201,98 +212,99 @@ FINDING = (
 NOT_COMPARED = "ord array<bigint>, place_kind string, place_line bigint, cell string, texts array<string>, reason string"
 
 
-def _none() -> Column:
-    return F.array().cast("array<string>")
+def _typed(fields: str) -> str:
+    return f"struct<{', '.join(f.replace(' ', ':', 1) for f in fields.split(', '))}>"
+
 
+_NONE = "cast(array() as array<string>)"
+_NOTHING = f"cast(array() as array<{_typed(NOT_COMPARED)}>)"
 
-def _finding(kind: str, ord_: list, place: tuple[str, Column], cell: Column, invoice: Column, ordered: Column, received: Column, lowest: Column, tolerance: Tolerance | None, candidate: Column | None = None) -> Column:
-    return F.struct(
-        F.array(*[F.lit(x).cast("long") if isinstance(x, int) else x.cast("long") for x in ord_]), F.lit(kind), F.lit(SEVERITY[kind]), F.lit(place[0]), place[1].cast("long"), cell, invoice, ordered, received,
-        lowest.cast(AMOUNT), (tolerance.margin(lowest) if tolerance else F.lit(None)).cast("decimal(32,10)"), F.lit(tolerance.percent if tolerance else None).cast("string"), F.lit(tolerance.cent if tolerance else None).cast("string"),
-        F.lit(None).cast("struct<line:bigint,code:double,description:double,reason:string>") if candidate is None else candidate,
-    ).cast(f"struct<{', '.join(p.replace(' ', ':', 1) for p in FINDING.split(', '))}>")
+
+def _ord(parts: tuple) -> str:
+    return f"array({', '.join(f'cast({x} as bigint)' for x in parts)})"
+
+
+def _finding(kind: str, ord_: tuple, place: tuple[str, str], cell: str | None, invoice: str = _NONE, ordered: str = _NONE, received: str = _NONE, lowest: str | None = None, tolerance: Tolerance | None = None, candidate: str = "null") -> str:
+    text = lambda x: "null" if x is None else f"'{x}'"
+    margin = tolerance.margin(lowest) if tolerance and lowest else "null"
+    percent, cent = (text(tolerance.percent), text(tolerance.cent)) if tolerance else ("null", "null")
+    return f"cast(struct({_ord(ord_)}, '{kind}', '{SEVERITY[kind]}', '{place[0]}', {place[1]}, {text(cell)}, {invoice}, {ordered}, {received}, {lowest or 'null'}, {margin}, {percent}, {cent}, {candidate}) as {_typed(FINDING)})"
 
 
 class Side(NamedTuple):
-    """One side's cell: its texts and their numbers."""
+    """One side's cell, as SQL: its texts and their numbers."""
 
-    texts: Column
-    numbers: Column | None = None
+    texts: str
+    numbers: str | None = None
 
     @property
-    def carried(self) -> Column:
-        return self.texts.isNotNull()
+    def carried(self) -> str:
+        return f"{self.texts} is not null"
 
     @property
-    def read(self) -> Column:
-        return self.carried & ~F.exists(self.numbers, lambda x: x.isNull())
+    def read(self) -> str:
+        return f"({self.carried} and not exists({self.numbers}, x -> x is null))"
 
 
-def _all(columns: list[Column]) -> Column:
-    return reduce(lambda x, y: x & y, columns)
+def _every(conditions: list[str]) -> str:
+    return f"({' and '.join(conditions)})"
 
 
-def _missed(ord_: list, place: tuple[str, Column], cell: str, sides: list[Side]) -> Column:
-    """What kept sides from being compared: each carried one as absent where another lacks the cell, else each that does not read."""
-    entry = lambda when, side, reason, at: F.when(when, _entry([*ord_, at], place, F.lit(cell), side.texts, F.lit(reason)))
-    every = _all([s.carried for s in sides])
-    absent = [entry(~every & s.carried, s, "absent", i) for i, s in enumerate(sides)]
-    unread = [entry(every & ~s.read, s, "unreadable", i) for i, s in enumerate(sides) if s.numbers is not None]
-    return F.array_compact(F.array(*absent, *unread))
+def _entry(ord_: tuple, place: tuple[str, str], cell: str | None, texts: str, reason: str) -> str:
+    shown = "null" if cell is None else f"'{cell}'"
+    return f"cast(struct({_ord(ord_)}, '{place[0]}', {place[1]}, {shown}, {texts}, '{reason}') as {_typed(NOT_COMPARED)})"
 
 
-def _entry(ord_: list, place: tuple[str, Column], cell: Column, texts: Column, reason: Column) -> Column:
-    fields = NOT_COMPARED.split(", ")
-    return F.struct(F.array(*[F.lit(x).cast("long") if isinstance(x, int) else x.cast("long") for x in ord_]), F.lit(place[0]), place[1].cast("long"), cell.cast("string"), texts, reason).cast(f"struct<{', '.join(f.replace(' ', ':', 1) for f in fields)}>")
+def _missed(ord_: tuple, place: tuple[str, str], cell: str, sides: list[Side]) -> str:
+    """What kept sides from being compared: each carried one as absent where another lacks the cell, else each that does not read."""
+    every = _every([s.carried for s in sides])
+    absent = [f"case when not {every} and {s.carried} then {_entry((*ord_, i), place, cell, s.texts, 'absent')} end" for i, s in enumerate(sides)]
+    unread = [f"case when {every} and not {s.read} then {_entry((*ord_, i), place, cell, s.texts, 'unreadable')} end" for i, s in enumerate(sides) if s.numbers]
+    return f"array_compact(array({', '.join(absent + unread)}))"
 
 
-def _comparable(sides: list[Side]) -> Column:
-    return _all([s.read for s in sides])
+def _comparable(sides: list[Side]) -> str:
+    return _every([s.read for s in sides])
 
 
-def _above(side: Side, against: Side, tolerance: Tolerance) -> Column:
+def _above(side: Side, against: Side, tolerance: Tolerance) -> str:
     """Whether the highest of a side is over the lowest of the other; the same numbers on both agree."""
-    same = F.array_sort(F.array_distinct(side.numbers)) == F.array_sort(F.array_distinct(against.numbers))
-    return F.coalesce(~same & tolerance.exceeded(F.array_max(side.numbers), F.array_min(against.numbers)), F.lit(False))
+    same = f"array_sort(array_distinct({side.numbers})) = array_sort(array_distinct({against.numbers}))"
+    return f"coalesce(not {same} and {tolerance.exceeded(f'array_max({side.numbers})', f'array_min({against.numbers})')}, false)"
 
 
 def _pair_rules(met: DataFrame) -> DataFrame:
     """`findings` and `missed` of each pairing: the unit, and where it agrees price and quantities."""
-    side = lambda s, c: Side(F.col(f"{s}.{_named(c)}"), F.col(f"{s}.{_named(c)}_n") if c in VALUE_CELLS else None)
-    place = ("po line", F.col("right"))
-    at = lambda step, *more: [1, F.col("left"), step, *more]
+    side = lambda s, c: Side(f"{s}.{_named(c)}", f"{s}.{_named(c)}_n" if c in VALUE_CELLS else None)
+    place = ("po line", "right")
+    at = lambda *step: (1, "left", *step)
     unit = [side("i", "unit"), side("p", "unit")]
-    other_unit = F.coalesce(_all([s.carried for s in unit]) & (F.col("i.unit_t") != F.col("p.unit_t")), F.lit(False))
-    variant = _finding("unit variant", at(0), place, F.lit("unit"), unit[0].texts, unit[1].texts, _none(), F.lit(None), EXACT)
-    suppressed = F.array_compact(F.array(*[F.when(side("i", c).carried, _entry(at(1, k), place, F.lit(c), side("i", c).texts, F.lit("unit variant"))) for k, c in enumerate((*PRICE_CELLS, "quantity"))]))
+    other_unit = f"coalesce({_every([s.carried for s in unit])} and i.unit_t <> p.unit_t, false)"
+    variant = _finding("unit variant", at(0), place, "unit", unit[0].texts, unit[1].texts, tolerance=EXACT)
+    held_back = [f"case when {side('i', c).carried} then {_entry(at(1, k), place, c, side('i', c).texts, 'unit variant')} end" for k, c in enumerate((*PRICE_CELLS, "quantity"))]
 
     price, amount = ([side("i", c), side("p", c)] for c in PRICE_CELLS)
-    by_price = _comparable(price)
-    over = lambda c, s: F.when(_above(s[0], s[1], MONEY), _finding("price variance", at(2), place, F.lit(c), s[0].texts, s[1].texts, _none(), F.array_min(s[1].numbers), MONEY))
-    price_finding = F.when(by_price, over("unit price", price)).when(_comparable(amount), over("amount", amount))
-    price_missed = F.concat(_missed(at(2), place, "unit price", price), F.when(by_price, F.array().cast(f"array<struct<{_FIELDS}>>")).otherwise(_missed(at(3), place, "amount", amount)))
+    over = lambda c, s: f"case when {_above(s[0], s[1], MONEY)} then {_finding('price variance', at(2), place, c, s[0].texts, s[1].texts, lowest=f'array_min({s[1].numbers})', tolerance=MONEY)} end"
+    price_finding = f"case when {_comparable(price)} then {over('unit price', price)} when {_comparable(amount)} then {over('amount', amount)} end"
+    price_missed = f"concat({_missed(at(2), place, 'unit price', price)}, case when {_comparable(price)} then {_NOTHING} else {_missed(at(3), place, 'amount', amount)} end)"
 
     billed, shipped, ordered = side("i", "quantity"), side("r", "quantity"), side("p", "quantity")
-    received = F.col("received")
     two, three = _comparable([billed, shipped]), _comparable([billed, shipped, ordered])
-    short = F.when(received & two & _above(billed, shipped, EXACT), _finding("short-ship", at(4), place, F.lit("quantity"), billed.texts, _none(), shipped.texts, F.array_min(shipped.numbers), EXACT))
-    over_ship = F.when(
-        received & two & three & _above(billed, ordered, EXACT) & _above(shipped, ordered, EXACT),
-        _finding("over-ship", at(5), place, F.lit("quantity"), billed.texts, ordered.texts, shipped.texts, F.array_min(ordered.numbers), EXACT),
+    short = f"case when received and {two} and {_above(billed, shipped, EXACT)} then {_finding('short-ship', at(4), place, 'quantity', billed.texts, received=shipped.texts, lowest=f'array_min({shipped.numbers})', tolerance=EXACT)} end"
+    over_ship = (
+        f"case when received and {three} and {_above(billed, ordered, EXACT)} and {_above(shipped, ordered, EXACT)} "
+        f"then {_finding('over-ship', at(5), place, 'quantity', billed.texts, ordered.texts, shipped.texts, f'array_min({ordered.numbers})', EXACT)} end"
     )
-    order_alone = F.array_compact(F.array(
-        F.when(ordered.carried & ~(billed.carried & shipped.carried), _entry(at(4, 9), place, F.lit("quantity"), ordered.texts, F.lit("absent")))
-        .when(ordered.carried & billed.carried & shipped.carried & ~ordered.read, _entry(at(4, 9), place, F.lit("quantity"), ordered.texts, F.lit("unreadable")))
-    ))
-    nothing = F.array().cast(f"array<struct<{_FIELDS}>>")
-    quantity_missed = F.when(~received, nothing).when(two, _missed(at(5), place, "quantity", [billed, shipped, ordered])).otherwise(F.concat(_missed(at(4), place, "quantity", [billed, shipped]), order_alone))
-
-    findings = F.when(other_unit, F.array(variant)).otherwise(F.array_compact(F.array(price_finding, short, over_ship)))
-    missed = F.concat(_missed(at(0), place, "unit", unit), F.when(other_unit, suppressed).otherwise(F.concat(price_missed, quantity_missed)))
-    return met.select("case_id", findings.alias("findings"), missed.alias("missed"))
-
+    both = _every([billed.carried, shipped.carried])
+    order_alone = (
+        f"array_compact(array(case when {ordered.carried} and not {both} then {_entry(at(4, 9), place, 'quantity', ordered.texts, 'absent')} "
+        f"when {ordered.carried} and {both} and not {ordered.read} then {_entry(at(4, 9), place, 'quantity', ordered.texts, 'unreadable')} end))"
+    )
+    quantity_missed = f"case when not received then {_NOTHING} when {two} then {_missed(at(5), place, 'quantity', [billed, shipped, ordered])} else concat({_missed(at(4), place, 'quantity', [billed, shipped])}, {order_alone}) end"
 
-_FIELDS = ", ".join(f.replace(" ", ":", 1) for f in NOT_COMPARED.split(", "))
+    findings = f"case when {other_unit} then array({variant}) else array_compact(array({price_finding}, {short}, {over_ship})) end"
+    missed = f"concat({_missed(at(0), place, 'unit', unit)}, case when {other_unit} then array_compact(array({', '.join(held_back)})) else concat({price_missed}, {quantity_missed}) end)"
+    return met.selectExpr("case_id", f"{findings} as findings", f"{missed} as missed")
 
 
 class Match(NamedTuple):
@@ -318,7 +330,6 @@ def match(invoice: DataFrame, ordered: DataFrame, received: DataFrame, headers:
     inside = lambda df: df.join(cases.distinct(), "case_id", "left_semi")
     a, b = (cut(cells(inside(df), "case_id", "pos")) for df in (invoice, ordered))
     pairings, extra, missing = pair(a, b)
-    pairings, extra, missing = cut(pairings), cut(extra), cut(missing)
     once = F.when(F.count("*").over(W.partitionBy("case_id", "po_line")) > 1, F.raise_error(F.lit("two receipt lines for one purchase-order line"))).otherwise(F.lit(True))
     r = cells(inside(received), "case_id", "po_line", names=("quantity",)).withColumn("received", once)
     met = (
@@ -330,19 +341,15 @@ def match(invoice: DataFrame, ordered: DataFrame, received: DataFrame, headers:
     ruled = cut(_pair_rules(met))
     taxes = headers.select("case_id", F.explode(F.array(F.struct(F.lit("i").alias("side"), F.col("invoice_fields").alias("fields")), F.struct(F.lit("p").alias("side"), F.col("order_fields").alias("fields")))).alias("_h")).select("case_id", "_h.*")
     tax = cells(taxes, "case_id", "side", names=("tax",)).groupBy("case_id").agg(*[F.max(F.when(F.col("side") == s, F.struct("tax", "tax_n"))).alias(s) for s in "ip"])
-    sides = [Side(F.col(f"{s}.tax"), F.col(f"{s}.tax_n")) for s in "ip"]
-    header = ("header", F.lit(None))
-    tax = cut(tax.select(
-        "case_id",
-        F.array_compact(F.array(F.when(_comparable(sides) & _above(sides[0], sides[1], MONEY), _finding("tax mismatch", [2], header, F.lit("tax"), sides[0].texts, sides[1].texts, _none(), F.array_min(sides[1].numbers), MONEY)))).alias("findings"),
-        _missed([2], header, "tax", sides).alias("missed"),
-    ))
-    alone = lambda df, kind, at, place: df.select("case_id", F.array(_finding(kind, [at, F.col("pos")], (place, F.col("pos")), F.lit(None).cast("string"), _none(), _none(), _none(), F.lit(None), None, F.col("candidate"))).alias("findings"))
+    sides, header = [Side(f"{s}.tax", f"{s}.tax_n") for s in "ip"], ("header", "null")
+    over = _finding("tax mismatch", (2,), header, "tax", sides[0].texts, sides[1].texts, lowest=f"array_min({sides[1].numbers})", tolerance=MONEY)
+    tax = tax.selectExpr("case_id", f"array_compact(array(case when {_comparable(sides)} and {_above(sides[0], sides[1], MONEY)} then {over} end)) as findings", f"{_missed((2,), header, 'tax', sides)} as missed")
+    alone = lambda df, kind, at, place: df.selectExpr("case_id", f"array({_finding(kind, (at, 'pos'), (place, 'pos'), None, candidate='candidate')}) as findings")
     found = (
         ruled.select("case_id", "findings").unionByName(tax.select("case_id", "findings")).unionByName(alone(extra, "extra line", 3, "invoice line")).unionByName(alone(missing, "missing line", 4, "po line"))
         .select("case_id", F.explode("findings").alias("_f")).select("case_id", "_f.*")
     )
-    bare = lambda df, place, at: df.where(~pairable()).select("case_id", F.array(_entry([0, at, F.col("pos")], (place, F.col("pos")), F.lit(None), _none(), F.lit("nothing to pair on"))).alias("missed"))
+    bare = lambda df, place, at: df.where(~pairable()).selectExpr("case_id", f"array({_entry((0, at, 'pos'), (place, 'pos'), None, _NONE, 'nothing to pair on')}) as missed")
     missed = (
         ruled.select("case_id", "missed").unionByName(tax.select("case_id", "missed")).unionByName(bare(a, "invoice line", 0)).unionByName(bare(b, "po line", 1))
         .select("case_id", F.explode("missed").alias("_m")).select("case_id", "_m.*")
@@ -387,4 +394,4 @@ def ledger(ordered: DataFrame, invoice: DataFrame, received: DataFrame, result:
     )
     free = invoice.select("case_id", F.col("pos").alias("invoice_line")).join(result.pairings.select("case_id", "invoice_line"), ["case_id", "invoice_line"], "left_anti")
     rest = free.join(of("invoice line", "invoice_line"), ["case_id", "invoice_line"], "left").select("case_id", F.lit(None).cast("long").alias("po_line"), "invoice_line", F.lit(False).alias("received"), "types")
-    return lines.unionByName(rest).withColumn("types", F.coalesce("types", _none()))
+    return lines.unionByName(rest).withColumn("types", F.coalesce("types", F.array().cast("array<string>")))

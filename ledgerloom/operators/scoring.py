@@ -52,26 +52,70 @@ def with_scores(sums: DataFrame) -> DataFrame:
     return sums.select("*", F.round(precision, 6).alias("precision"), F.round(recall, 6).alias("recall"), F.round(f1(precision, recall), 6).alias("f1"))
 
 
-def error_classes(flags: DataFrame, keys: list[str], net_for_gross: dict[str, str]) -> DataFrame:
-    """Missing and spurious values told apart: a gross value read under its net fieldtype is
-    `filed beside`; of what is left of a fieldtype in a document, pairs are `wrong` and the rest
-    `missing` or `spurious`. Gives fieldtype, class, n; every class adds back to its side's misses."""
-    flags = cut(flags.where("gold <> guess"))
-    missing = flags.where("gold = 1 and guess = 0")
-    spurious = flags.where("gold = 0 and guess = 1")
-    beside = F.create_map(*[F.lit(x) for pair in net_for_gross.items() for x in pair])
-    moved = missing.withColumn("other", beside[F.col("fieldtype")]).where("other is not null").select(*keys, "fieldtype", "norm", "other")
-    took = spurious.select(*keys, F.col("fieldtype").alias("other"), "norm")
-    filed = moved.join(took, [*keys, "other", "norm"])
-    left = missing.join(filed.select(*keys, "fieldtype", "norm"), [*keys, "fieldtype", "norm"], "left_anti").groupBy(*keys, "fieldtype").agg(F.count("*").alias("m"))
-    extra = spurious.join(filed.select(*keys, F.col("other").alias("fieldtype"), "norm"), [*keys, "fieldtype", "norm"], "left_anti").groupBy(*keys, "fieldtype").agg(F.count("*").alias("s"))
-    both = left.join(extra, [*keys, "fieldtype"], "full").select("fieldtype", F.coalesce("m", F.lit(0)).alias("m"), F.coalesce("s", F.lit(0)).alias("s"))
+# Each gross fieldtype beside its net one; the classes of errors in report order.
+NET_FOR_GROSS = {
+    "amount_total_gross": "amount_total_net", "tax_detail_gross": "tax_detail_net", "line_item_amount_gross": "line_item_amount_net", "line_item_unit_price_gross": "line_item_unit_price_net",
+}
+VALUE_CLASSES = ("net for gross", "gross for net", "misread date", "wrong", "missing", "spurious")
+ROW_CLASSES = ("wrong row", "missing row", "spurious row")
+OTHER_FIELDTYPE = "other fieldtype"
+
+
+def value_errors(flags: DataFrame, keys: list[str], known: list[str] | None = None) -> DataFrame:
+    """`keys, class, fieldtype, n`: missing and spurious values told apart, scope by scope.
+
+    A value labelled under one of a gross and net pair and read under the other is filed beside it;
+    of what is left of a fieldtype in a scope, pairs are `wrong` (`misread date` of a date) and the
+    rest `missing` or `spurious`. Every class adds back to its side's misses. Fieldtypes outside
+    `known` are counted as one. One grouping by value and one by fieldtype, both on the scope.
+    """
+    family = F.create_map(*[F.lit(x) for g, n in NET_FOR_GROSS.items() for x in (n, g)])
+    off = flags.where("gold <> guess").select(*keys, "fieldtype", "norm", (F.col("gold") == 1).alias("_missing"), F.coalesce(family[F.col("fieldtype")], F.col("fieldtype")).alias("_family"))
+    gross = F.col("fieldtype") == F.col("_family")
+    w = W.partitionBy(*keys, "_family", "norm")
+    met = lambda a, b: (F.max(F.when(a, 1).otherwise(0)).over(w) == 1) & (F.max(F.when(b, 1).otherwise(0)).over(w) == 1)
+    missing = F.col("_missing")
+    ng, gn = met(missing & gross, ~missing & ~gross), met(missing & ~gross, ~missing & gross)
+    filed = F.when(F.when(missing, gross).otherwise(~gross), ng).otherwise(gn)
+    per = off.withColumn("_filed", filed).groupBy(*keys, "fieldtype").agg(
+        F.count_if(missing & ~F.col("_filed")).alias("m"), F.count_if(~missing & ~F.col("_filed")).alias("s"), F.count_if(missing & F.col("_filed")).alias("f")
+    )
     pairs = F.least("m", "s")
-    classed = both.select(
-        "fieldtype",
-        F.explode(F.array(*[F.struct(F.lit(c).alias("class"), n.alias("n")) for c, n in (("wrong", pairs), ("missing", F.col("m") - pairs), ("spurious", F.col("s") - pairs))])).alias("_c"),
-    ).select("fieldtype", "_c.*")
-    return classed.unionByName(filed.select("fieldtype", F.lit("filed beside").alias("class"), F.lit(1).alias("n"))).groupBy("fieldtype", "class").agg(F.sum("n").cast("long").alias("n")).where("n > 0")
+    date = F.col("fieldtype").isin(*normalize.DATE_FIELDTYPES)
+    beside = F.when(F.col("fieldtype").isin(*NET_FOR_GROSS), "net for gross").otherwise("gross for net")
+    shown = F.col("fieldtype") if known is None else F.when(F.col("fieldtype").isin(*known), F.col("fieldtype")).otherwise(OTHER_FIELDTYPE)
+    classes = [(beside, F.col("f")), (F.when(date, "misread date").otherwise("wrong"), pairs), (F.lit("missing"), F.col("m") - pairs), (F.lit("spurious"), F.col("s") - pairs)]
+    listed = per.select(*keys, shown.alias("fieldtype"), F.explode(F.array(*[F.struct(c.alias("class"), n.alias("n")) for c, n in classes])).alias("_c")).where("_c.n > 0")
+    return listed.select(*keys, "_c.class", "fieldtype", "_c.n").groupBy(*keys, "class", "fieldtype").agg(F.sum("n").alias("n"))
+
+
+def error_classes(flags: DataFrame, keys: list[str], known: list[str] | None = None) -> DataFrame:
+    """`class, fieldtype, n, documents`: value errors over all scopes, and the documents (the first key) with any."""
+    return value_errors(flags, keys, known).groupBy("class", "fieldtype").agg(F.sum("n").alias("n"), F.countDistinct(keys[0]).alias("documents"))
+
+
+def ranked_errors(errors: DataFrame) -> DataFrame:
+    """Errors with `place`: most first, then by class in report order, then by fieldtype."""
+    order = F.create_map(*[F.lit(x) for i, c in enumerate(VALUE_CLASSES) for x in (c, i)])
+    return errors.withColumn("place", F.row_number().over(W.orderBy(F.col("n").desc(), order[F.col("class")], "fieldtype")))  # a row a class and fieldtype
+
+
+def error_totals(classes: DataFrame) -> DataFrame:
+    """One row: the false negatives and false positives that classes (class, n) stand for."""
+    spurious, missing = F.col("class").isin("spurious", "spurious row"), F.col("class").isin("missing", "missing row")
+    total = lambda c: F.coalesce(F.sum(F.when(~c, F.col("n"))), F.lit(0))
+    return classes.agg(total(spurious).alias("false_negatives"), total(missing).alias("false_positives"))
+
+
+def judged_values(written: DataFrame, confidence: DataFrame, flags: DataFrame, keys: list[str]) -> DataFrame:
+    """`keys, fieldtype, norm, confidence, correct`: each distinct value read, at its highest
+    confidence (null where it has none), and whether it was matched.
+
+    `written` and `confidence` have keys, fieldtype, pos and text or confidence: they meet by
+    position before blanks are dropped."""
+    met = written.join(confidence.select(*keys, "fieldtype", "pos", "confidence"), [*keys, "fieldtype", "pos"], "left").where(F.trim("text") != "")
+    best = met.withColumn("norm", normalize.comparable(F.col("fieldtype"), F.col("text"))).groupBy(*keys, "fieldtype", "norm").agg(F.max("confidence").alias("confidence"))
+    return best.join(flags.where("guess = 1").select(*keys, "fieldtype", "norm", F.col("gold").alias("correct")), [*keys, "fieldtype", "norm"])
 
 
 def calibration(judged: DataFrame) -> DataFrame:

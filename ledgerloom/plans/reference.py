@@ -174,15 +174,16 @@ def field_micro_f1(spark, sf_dir):  # noqa: ANN001, ANN201
 
 
 @query(f"""with {_SIDES}, m as (select * from flags where gold = 1 and guess = 0), s as (select * from flags where gold = 0 and guess = 1),
-f as (select m.doc, m.fieldtype, m.norm, s.fieldtype as other from m join s on m.doc = s.doc and m.norm = s.norm and m.fieldtype = 'amount_total_gross' and s.fieldtype = 'amount_total_net'),
+f as (select m.doc, m.fieldtype, m.norm, s.fieldtype as other from m join s on m.doc = s.doc and m.norm = s.norm and (m.fieldtype = 'amount_total_gross' and s.fieldtype = 'amount_total_net' or m.fieldtype = 'amount_total_net' and s.fieldtype = 'amount_total_gross')),
 l as (select doc, fieldtype, count(*) as m from m where not exists (select 1 from f where f.doc = m.doc and f.fieldtype = m.fieldtype and f.norm = m.norm) group by all),
 e as (select doc, fieldtype, count(*) as s from s where not exists (select 1 from f where f.doc = s.doc and f.other = s.fieldtype and f.norm = s.norm) group by all),
-b as (select coalesce(l.fieldtype, e.fieldtype) as fieldtype, coalesce(m, 0) as m, coalesce(s, 0) as s from l full join e on l.doc = e.doc and l.fieldtype = e.fieldtype),
-u as (select fieldtype, 'wrong' as class, least(m, s) as n from b union all select fieldtype, 'missing', m - least(m, s) from b union all select fieldtype, 'spurious', s - least(m, s) from b union all select fieldtype, 'filed beside', 1 from f)
-select fieldtype, class, sum(n)::bigint as n from u group by all having sum(n) > 0""")
+b as (select coalesce(l.doc, e.doc) as doc, coalesce(l.fieldtype, e.fieldtype) as fieldtype, coalesce(m, 0) as m, coalesce(s, 0) as s from l full join e on l.doc = e.doc and l.fieldtype = e.fieldtype),
+u as (select doc, fieldtype, case when fieldtype like 'date%' then 'misread date' else 'wrong' end as class, least(m, s) as n from b union all select doc, fieldtype, 'missing', m - least(m, s) from b union all select doc, fieldtype, 'spurious', s - least(m, s) from b
+  union all select doc, fieldtype, case fieldtype when 'amount_total_gross' then 'net for gross' else 'gross for net' end, 1 from f)
+select fieldtype, class, sum(n)::bigint as n, count(distinct doc) as documents from u where n > 0 group by all""")
 def error_classes(spark, sf_dir):  # noqa: ANN001, ANN201
     flags = scoring.field_flags(labels(spark, sf_dir), readings(spark, sf_dir), ["doc"])
-    return scoring.error_classes(flags, ["doc"], {"amount_total_gross": "amount_total_net"})
+    return scoring.error_classes(flags, ["doc"])
 
 
 @query(f"""with {_SIDES} select count(distinct doc) as documents, count(*) as labels, count(distinct (doc, fieldtype)) as fields, count(distinct norm) as values from gold""")

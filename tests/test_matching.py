@@ -121,7 +121,7 @@ def test_candidates(spark):
 
 def test_bands(spark):
     df = spark.createDataFrame([("101.5", "100"), ("102.01", "100"), ("150", "100"), ("151", "100"), ("100.9", "100")], "v string, a string").selectExpr("cast(v as decimal(28,8)) v", "cast(a as decimal(28,8)) a")
-    assert [r[0] for r in df.select(matching.band(df.v, df.a)).collect()] == ["near", "far", "far", None, None]
+    assert [r[0] for r in df.select(matching.band("v", "a")).collect()] == ["near", "far", "far", None, None]
     df = spark.createDataFrame([("3", "2"), ("4", "2"), ("5", "2"), ("2.5", "2")], "v string, a string").selectExpr("cast(v as decimal(28,8)) v", "cast(a as decimal(28,8)) a")
     assert [r[0] for r in df.select(matching.quantity_band(df.v, df.a)).collect()] == ["near", "far", None, None]
 
