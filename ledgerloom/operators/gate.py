@@ -39,11 +39,9 @@ def _used(*fieldtypes: str) -> Column:
 NOTHING = "array<struct<fieldtype:string,text:string>>"
 
 
-def _check(rule: str, fieldtypes: tuple[str, str], read, holds) -> Column:  # noqa: ANN001
-    """A rule over the values of two fieldtypes: absent where one has none, unreadable where one does not read."""
-    first, second = (F.transform(_texts(t), read) for t in fieldtypes)
-    unread = F.exists(first, lambda x: x.isNull()) | F.exists(second, lambda x: x.isNull())
-    outcome = F.when((F.size(first) == 0) | (F.size(second) == 0), "absent").when(unread, "unreadable").when(holds(first, second), "passed").otherwise("failed")
+def _check(rule: str, fieldtypes: tuple[str, str], first: str, second: str, holds: str) -> Column:
+    """A rule over two fieldtypes' values, read into the columns `first` and `second`: absent where one has none, unreadable where one does not read."""
+    outcome = F.expr(f"case when size({first}) = 0 or size({second}) = 0 then 'absent' when exists({first}, x -> x is null) or exists({second}, x -> x is null) then 'unreadable' when {holds} then 'passed' else 'failed' end")
     return F.struct(F.lit(rule).alias("rule"), outcome.alias("outcome"), F.when(outcome.isin("passed", "failed"), _used(*fieldtypes)).otherwise(F.array().cast(NOTHING)).alias("used"))
 
 
@@ -56,10 +54,12 @@ def checks(headers: DataFrame, region: str | None = None, admitted: list[str] |
     has no totals to agree. Of a region's rules those admitted run (all, unless given). A null or
     empty map has every rule absent.
     """
-    dates = _check("dates sane", DATES, lambda x: normalize.date(x, day_first), lambda a, b: F.array_max(a) <= F.array_min(b))
-    cent = F.lit(TOLERANCE).cast("decimal(5,2)")
-    within = lambda a, b: (F.array_max(a) - F.array_min(b) <= cent) & (F.array_max(b) - F.array_min(a) <= cent)
-    totals = _check("totals agree", TOTALS, lambda x: normalize.number(x).try_cast("decimal(28,8)"), within)
+    read = headers.select(
+        "doc", "fields", *[F.transform(_texts(t), lambda x: normalize.date(x, day_first)).alias(f"_{n}") for t, n in zip(DATES, "ab", strict=True)],
+        *[F.transform(_texts(t), lambda x: normalize.number(x).try_cast("decimal(28,8)")).alias(f"_{n}") for t, n in zip(TOTALS, "cd", strict=True)],
+    )
+    dates = _check("dates sane", DATES, "_a", "_b", "array_max(_a) <= array_min(_b)")
+    totals = _check("totals agree", TOTALS, "_c", "_d", f"array_max(_c) - array_min(_d) <= {TOLERANCE} and array_max(_d) - array_min(_c) <= {TOLERANCE}")
     paid = F.struct(F.lit("totals agree").alias("rule"), F.lit("paid").alias("outcome"), F.array().cast(NOTHING).alias("used"))
     every = [dates, F.when(F.size(_texts("amount_paid")) > 0, paid).otherwise(totals)]
     for rule, fieldtype in REGIONAL.get(region or "", {}).items():
@@ -67,7 +67,7 @@ def checks(headers: DataFrame, region: str | None = None, admitted: list[str] |
             values = _texts(fieldtype)
             outcome = F.when(F.size(values) == 0, "absent").when(F.forall(values, _valid(rule)), "passed").otherwise("failed")
             every.append(F.struct(F.lit(rule).alias("rule"), outcome.alias("outcome"), F.when(F.size(values) > 0, _used(fieldtype)).otherwise(F.array().cast(NOTHING)).alias("used")))
-    return headers.select("doc", F.explode(F.array(*every)).alias("_c")).select("doc", "_c.*")
+    return read.select("doc", F.explode(F.array(*every)).alias("_c")).select("doc", "_c.*")
 
 
 def verdicts(checked: DataFrame) -> DataFrame:
