@@ -159,13 +159,15 @@ def assign(documents: DataFrame, examples: DataFrame, subjects: DataFrame) -> Da
 
     `documents` has doc_id and text; `examples` doc_id and subject, the row `none` for a document
     of no subject; `subjects` lists them (a dozen). A null or empty text has no subject; without
-    examples no document has one. Rows without doc_id are left out; a repeated one counts once.
+    examples no document has one. Rows without doc_id are left out.
     """
     spark = documents.sparkSession
     names = sorted(r["subject"] for r in subjects.where("subject is not null").select("subject").distinct().collect())
     known = examples.where("doc_id is not null").groupBy("doc_id").agg(F.collect_set("subject").alias("own"))
     documents = documents.where("doc_id is not null").select("doc_id", "text")
-    sample = known.join(documents, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_LABELLED).toPandas()
+    # The sample's ids are settled before any text is read; no more of them than the bound meet the texts.
+    sampled = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_LABELLED)
+    sample = documents.join(F.broadcast(sampled), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").toPandas()
     if not len(sample) or not names:
         return documents.select("doc_id", F.lit(None).cast("string").alias("subject")).where("false")
     model = train(list(sample["text"]), [set(s) for s in sample["own"]], names)
@@ -182,5 +184,5 @@ def assign(documents: DataFrame, examples: DataFrame, subjects: DataFrame) -> Da
                     found.append(m["subjects"][c])
             yield pd.DataFrame({"doc_id": pd.Series(ids, dtype="int64"), "subject": pd.Series(found, dtype="object")})
 
-    unknown = documents.join(known.select("doc_id"), "doc_id", "left_anti")
-    return unknown.mapInPandas(run, "doc_id bigint, subject string")
+    # Texts are scored where they are read; known documents are left out of what is found, so no text is ever shuffled.
+    return documents.mapInPandas(run, "doc_id bigint, subject string").join(known.select("doc_id"), "doc_id", "left_anti")
