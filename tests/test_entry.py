@@ -19,7 +19,7 @@ def test_flagship(spark):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", ["normalize_number", "field_score", "auroc", "trigram_top5", "rate_asof", "stream_last_state", "vector_top5"])
+@pytest.mark.parametrize("name", ["normalize_number", "field_score", "auroc", "trigram_top5", "rate_asof", "stream_last_state", "vector_top5", "match_findings", "gate_verdict", "routing_ladder", "row_score", "monthly_export", "retried_calls", "corrections_fold", "transitions", "error_classes"])
 def test_against_sql(spark, name):
     con = duckdb.connect()
     for file in os.listdir(DATA):
