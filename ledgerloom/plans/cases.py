@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import gate, lines, matching, matchscore, routing, scoring
-from ledgerloom.plans.registry import registry
+from ledgerloom.plans.registry import filled, registry
 from ledgerloom.session import cut, table
 
 QUERIES, ORACLES, query = registry()
@@ -453,3 +453,9 @@ def judged_cells(spark, sf_dir):  # noqa: ANN001, ANN201
     confidence = read.where("line < 200 or fieldtype = 'line_item_code'").select("doc", "line", "fieldtype", F.when(p != 10, p / 10).alias("confidence")).distinct()
     judged = lines.Scored(gold, read).judged_cells(confidence).where("fieldtype in ('line_item_code', 'line_item_quantity') and norm <> '99999'")
     return judged.groupBy("fieldtype", "confidence").agg(F.count("*").alias("n"), F.sum("correct").alias("correct"))
+
+
+for _name, *_columns in (
+    ("match_findings", "place_line"), ("tax_mismatch", "place_line"), ("explain_findings", "place_line"), ("not_compared", "place_line"), ("match_ledger", "po_line", "invoice_line"), ("relabeled_findings", "place_line"), ("extra_missing_lines", "line"),
+):
+    filled(QUERIES, ORACLES, _name, *_columns)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ledgerloom.operators import edits, export, loop, resolution, retrieval
 from ledgerloom.plans.cases import _MONEY, money
 from ledgerloom.plans.reference import _CATALOG, _QUERIES, _TRI, _entries, _texts
-from ledgerloom.plans.registry import registry
+from ledgerloom.plans.registry import filled, registry
 from ledgerloom.session import latest, table
 
 QUERIES, ORACLES, query = registry()
@@ -271,3 +271,6 @@ def pairing_floor(spark, sf_dir):  # noqa: ANN001, ANN201
     """The floor that at most one in a hundred of ten thousand drawn unrelated pairs of descriptions reach: a measurement by draw."""
     lines = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc"), F.concat_ws(" ", "p_name", "p_type").alias("text"))
     return resolution.floor(lines, 10_000, 17)
+
+
+filled(QUERIES, ORACLES, "corrections_fold", "line")

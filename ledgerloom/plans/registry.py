@@ -19,3 +19,10 @@ def registry() -> tuple[dict[str, Callable], dict[str, str], Callable]:
         return add
 
     return queries, oracles, query
+
+
+def filled(queries: dict[str, Callable], oracles: dict[str, str], name: str, *columns: str) -> None:
+    """Have a query and its SQL show -1 where whole-number columns are null: a line that does not apply."""
+    run = queries[name]
+    queries[name] = lambda spark, sf_dir: run(spark, sf_dir).fillna(-1, list(columns))
+    oracles[name] = f"select * replace ({', '.join(f'coalesce({c}, -1) as {c}' for c in columns)}) from ({oracles[name]})"

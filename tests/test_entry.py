@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -27,5 +28,5 @@ def test_against_sql(spark, name):
     ours, theirs = entry.queries()[name](spark, DATA).toPandas(), con.execute(entry.oracle_sql()[name]).df()
     columns = sorted(ours.columns)
     assert columns == sorted(theirs.columns)
-    rows = lambda df: sorted(str(tuple(None if x is None or x != x else float(x) if isinstance(x, (int, float)) else str(x) for x in r)) for r in df[columns].itertuples(index=False))
+    rows = lambda df: sorted(str(tuple(None if pd.isna(x) else float(x) if isinstance(x, (int, float)) else str(x) for x in r)) for r in df[columns].itertuples(index=False))
     assert rows(ours) == rows(theirs)
