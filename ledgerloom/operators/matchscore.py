@@ -72,10 +72,12 @@ def clean_case_rate(cases: DataFrame, found: DataFrame, truth: DataFrame) -> Dat
 def crossed_pairs(pairings: DataFrame, key: DataFrame, lines: DataFrame) -> DataFrame:
     """One row: pairings whose purchase-order line was made from an invoice line (keyed), of those
     the ones paired with another (crossed), and of these the ones between lines alike on every
-    pairing cell. `lines` are the invoice's resolved cells, with case_id and pos."""
+    pairing cell. `lines` are the invoice's lines: case_id, pos, fields. Only those of crossed pairs
+    are looked at, and found by their case, as a case's lines lie together."""
     met = pairings.select("case_id", "po_line", F.col("invoice_line").alias("paired")).join(key.where("invoice_line is not null").select("case_id", "po_line", F.col("invoice_line").alias("answers")), ["case_id", "po_line"])
-    signs = lines.select("case_id", "pos", matching.signature().alias("sign"))
     crossed = met.where("paired <> answers")
+    asked = crossed.groupBy("case_id").agg(F.flatten(F.collect_list(F.array("paired", "answers"))).alias("_asked"))
+    signs = matching.cells(lines.join(asked, "case_id").where("array_contains(_asked, pos)"), "case_id", "pos").select("case_id", "pos", matching.signature().alias("sign"))
     alike = (
         crossed.join(signs.select("case_id", F.col("pos").alias("paired"), F.col("sign").alias("_a")), ["case_id", "paired"]).join(signs.select("case_id", F.col("pos").alias("answers"), F.col("sign").alias("_b")), ["case_id", "answers"])
         .agg(F.count_if(F.col("_a") == F.col("_b")).alias("alike"))

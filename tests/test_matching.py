@@ -132,3 +132,32 @@ def test_connected_parts_are_solved_alike(spark):
     rows = {(r.left, r.right): r.worth for r in edges.collect()}
     best = max(sum(rows.get((i, p[i]), 0) for i in range(6)) for p in itertools.permutations(range(6)))
     assert sum(r.worth for r in assignment.assign(edges).collect()) == best
+
+
+def test_equals_are_paired_as_if_all_were_compared(spark):
+    """Lines with an equal on the other side, near ones and strangers: the pairs are those of the greatest worth."""
+    rng = random.Random(5)
+    codes = ["AAAA", "AAAB", "AABB", "ABBB", "CCCCCCCC", "CCCCDDDD", "XYZ1", "Q7"]
+    cases = {str(c): (rng.sample(codes, rng.randint(0, 5)), rng.sample(codes, rng.randint(0, 5))) for c in range(60)}
+    result = run(spark, {c: ([line(code=x, quantity="1") for x in a], [line(code=y, quantity="1") for y in b], {}, {}, {}) for c, (a, b) in cases.items()})
+    got = {}
+    for r in result.pairings.collect():
+        got.setdefault(r.case_id, []).append((r.invoice_line, r.po_line, r.code))
+    for c, (a, b) in cases.items():
+        worth = [[(lambda s: (round(s * 1000) * (4000 * min(len(a), len(b)) + 1) + 1000) * (s >= 0.5))(alike(x.lower(), y.lower())) for y in b] for x in a]
+        small, large = (worth, len(b)) if len(a) <= len(b) else ([list(x) for x in zip(*worth, strict=True)], len(a))
+        best = max((sum(row[j] for row, j in zip(small, p, strict=True)) for p in itertools.permutations(range(large), len(small))), default=0)
+        assert sum(worth[i][j] for i, j, _ in got.get(c, [])) == best, c
+        assert all(s == alike(a[i].lower(), b[j].lower()) for i, j, s in got.get(c, []))
+
+
+def test_nothing_is_written_between(spark):
+    """A match leaves nothing on disk but what it shuffles."""
+    from pathlib import Path
+
+    from ledgerloom.session import shared_folder
+
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    before = sum(f.stat().st_size for f in folder.rglob("*") if f.is_file())
+    result = run(spark, {"c": ([line(code="A1")], [line(code="A1")], {}, {}, {})})
+    assert result.pairings.count() == 1 and sum(f.stat().st_size for f in folder.rglob("*") if f.is_file()) == before
