@@ -109,3 +109,25 @@ def test_numbers_in_other_forms(spark):
     texts = ["１２３．５", "1,234", "1.234", "1.234.567", "1,234,5", "0.500", "00012", "- 5 %", "5-", ".5", "1 2", "", "n/a", None, "1.2 x 3.4", "US$ 7.", "a" * 60_000 + "1"]
     found = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(normalize.number(F.col("t"))).collect()]
     assert found == ["123.5", "1234", "1.234", "1234567", "1234.5", "0.5", "12", "-5", "-5", "0.5", "12", None, None, None, None, "7", "1"]
+
+
+def test_line_scores_write_nothing_between(spark):
+    """Line tables are scored without anything on disk but what is shuffled, whether rows come long or gathered."""
+    from pathlib import Path
+
+    from ledgerloom.session import shared_folder
+
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    size = lambda: sum(f.stat().st_size for f in folder.rglob("*") if f.is_file())
+    before = size()
+    make = lambda rows: spark.createDataFrame(rows, "doc bigint, line bigint, fieldtype string, text string")
+    gold, read = make([(1, 0, "a", "x"), (1, 0, "b", "y"), (1, 1, "a", "z"), (2, 0, "a", None)]), make([(1, 5, "a", "X"), (1, 5, "b", "y"), (1, 6, "a", "w"), (3, 0, "a", "q")])
+    scored = lines.Scored(gold, read)
+    assert sorted((r.doc, r.left, r.right, r.correct) for r in scored.rows().collect() if r.left is not None) == [(1, 0, 5, True), (1, 1, None, False), (2, 0, None, False)]
+    assert sorted((r.doc, r.right) for r in scored.rows().where("left is null").collect()) == [(1, 6), (3, 0)]
+    assert size() == before
+    told = make([(1, 5, "a", "0.5")]).selectExpr("doc", "line", "fieldtype", "cast(text as double) confidence")
+    long = {(r.doc, r.right, r.fieldtype, r.norm, r.confidence, r.correct) for r in scored.judged_cells(told).collect()}
+    nest = lambda df, name: df.groupBy("doc", "line").agg(F.collect_list(F.struct("fieldtype", "text")).alias("cells")).groupBy("doc").agg(F.collect_list(F.struct("line", "cells")).alias(name))
+    held = nest(gold, "gold").join(nest(read, "guess"), "doc", "full").join(told.groupBy("doc").agg(F.collect_list(F.struct("line", "fieldtype", "confidence")).alias("confidence")), "doc", "left")
+    assert {(r.doc, r.right, r.fieldtype, r.norm, r.confidence, r.correct) for r in lines.Scored.of(held).judged_cells().collect()} == long and (1, 5, "a", "x", 0.5, 1) in long and (1, 6, "a", "w", None, 0) in long
