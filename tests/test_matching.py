@@ -161,3 +161,21 @@ def test_nothing_is_written_between(spark):
     before = sum(f.stat().st_size for f in folder.rglob("*") if f.is_file())
     result = run(spark, {"c": ([line(code="A1")], [line(code="A1")], {}, {}, {})})
     assert result.pairings.count() == 1 and sum(f.stat().st_size for f in folder.rglob("*") if f.is_file()) == before
+
+
+def test_no_row_of_a_case_is_sorted(spark):
+    """Rows that hold a case's lines or headers are not sorted: what a sort can't hold goes to disk. What waits for Python carries the lines once."""
+    lines = "array<struct<pos:bigint,fields:map<string,array<string>>>>"
+    cases = spark.createDataFrame([("c", [(0, line(code="A1"))], [(0, line(code="A1"))], [])], f"case_id string, invoice {lines}, ordered {lines}, received array<struct<po_line:bigint,fields:map<string,array<string>>>>")
+    heads = spark.createDataFrame([("c", {}, {})], HEADERS)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        result = matching.match_cases(cases, heads)
+        for df in (result.lines, result.findings, result.not_compared):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" not in plan and "SortAggregate" not in plan
+            python = next(x for x in plan.split("\n") if "ArrowEvalPython" in x)
+            assert not any(f"{c}#" in python for c in ("_na", "_nb", "_pa", "_pb", "_ka", "_kb"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
