@@ -176,6 +176,6 @@ def test_no_row_of_a_case_is_sorted(spark):
             plan = df._jdf.queryExecution().executedPlan().toString()
             assert "SortMergeJoin" not in plan and "SortAggregate" not in plan
             python = next(x for x in plan.split("\n") if "ArrowEvalPython" in x)
-            assert not any(f"{c}#" in python for c in ("_na", "_nb", "_pa", "_pb", "_ka", "_kb"))
+            assert not any(f"{c}#" in python for c in ("_na", "_nb", "_pa", "_pb", "_ka", "_kb", "_ca", "_cb"))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
