@@ -37,7 +37,7 @@ def paired(documents: DataFrame) -> DataFrame:
     met = "transform(guess, r -> struct(cast(g.line as bigint) as left, cast(r.line as bigint) as right, cast(size(array_intersect(g.values, r.values)) as bigint) as n, size(g.values) as a, size(r.values) as b))"
     graded = "struct(e.left, e.right, e.n, e.n = e.a and e.n = e.b, e.n * (least(size(gold), size(guess)) + 1L) + if(e.n = e.a and e.n = e.b, 1L, 0L))"
     df = with_(documents, _edges=f"cast(flatten(transform(gold, g -> transform(filter({met}, e -> e.n > 0), e -> {graded}))) as array<struct<{pick}>>)")
-    df = df.withColumn("_chosen", F.when(F.size("_edges") > 0, chosen(F.col("_edges.left"), F.col("_edges.right"), F.col("_edges.worth"))))
+    df = df.withColumn("_chosen", chosen(F.expr("case when size(_edges) > 0 then array_join(transform(_edges, e -> concat(e.left, ',', e.right, ',', e.worth)), ';') end")))
     df = with_(df, _pairs="coalesce(transform(_chosen, k -> _edges[k]), array())")
     df = with_(df, _left="transform(_pairs, p -> p.left)", _right="transform(_pairs, p -> p.right)", _at="transform(guess, r -> cast(r.line as bigint))")
     row = lambda left, right, correct, gold, guess: f"named_struct('left', {left}, 'right', {right}, 'correct', {correct}, 'gold', {gold}, 'guess', {guess})"
