@@ -179,3 +179,31 @@ def test_no_row_of_a_case_is_sorted(spark):
             assert not any(f"{c}#" in python for c in ("_na", "_nb", "_pa", "_pb", "_ka", "_kb", "_ca", "_cb"))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_assignment_in_sql_is_that_of_python(spark):
+    """Ties included: few worths, parts that share no line, sides of any length."""
+    rng = random.Random(3)
+    cases = []
+    for c in range(200):
+        left, right, share, top = rng.sample(range(9), rng.randint(0, 6)), rng.sample(range(9), rng.randint(0, 6)), rng.choice([0.2, 0.5, 1]), rng.choice([2, 5, 10**9])
+        cases.append((c, [(i, j, rng.randint(1, top)) for i in left for j in right if rng.random() < share]))
+    df = spark.createDataFrame(cases, "c int, edges array<struct<left:bigint,right:bigint,worth:bigint>>")
+    got = {r.c: sorted((e.left, e.right, e.worth) for e in r.best) for r in df.selectExpr("c", f"{matching.assigned('edges')} as best").collect()}
+    assert all(got[c] == sorted(assignment._solve(*([e[k] for e in edges] for k in range(3)))) for c, edges in cases)
+
+
+def test_cases_of_few_lines_do_not_wait_for_python(spark, monkeypatch):
+    """The match does not depend on who solves a case, and only cases of many lines go through Python."""
+    rng = random.Random(4)
+    make = lambda: line(code=rng.choice(["A100", "A101", "B7"]), quantity=str(rng.randint(1, 5)))
+    cases = {str(c): ([make() for _ in range(rng.randint(0, 4))], [make() for _ in range(rng.randint(0, 4))], {}, {}, {}) for c in range(20)}
+    got = []
+    for many in (0, 2, 64):
+        monkeypatch.setattr(matching, "MANY", many)
+        result = run(spark, cases)
+        got.append(sorted(tuple(r) for r in result.pairings.collect()))
+    assert got[0] == got[1] == got[2]
+    plan = result.findings._jdf.queryExecution().executedPlan().toString()
+    waits = [x for x in plan.split("\n") if "Filter" in x and f"> {matching.MANY}" in x]
+    assert plan.count("ArrowEvalPython") == 1 and len(waits) >= 2
